@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from keepset.llm import shards
+from keepset.llm import lengths, packing, shards
 
 QUERIES = {
     "op1_token_shards": shards.op1_token_shards,
+    "op5_pack_sequences": packing.op5_pack_sequences,
+    "op8_length_histogram": lengths.op8_length_histogram,
 }
 ORACLES: dict[str, str] = {}
 
