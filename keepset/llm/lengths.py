@@ -30,7 +30,7 @@ def length_histogram(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         library, counts = encoder(vocabulary_path), Counter()
         for batch in batches:
             for part in slices(batch):
-                counts.update(len(x) // 4 - 1 for x in library.encode(part.column("text").to_pylist(), 0))
+                counts.update(len(x) // 4 for x in library.encode(part.column("text").to_pylist(), None))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["n_tokens", "n_docs"])
 
     return docs.select("text").mapInArrow(counted, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))

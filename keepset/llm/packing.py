@@ -178,9 +178,9 @@ def pack(docs: DataFrame, vocabulary_path: str, end: int, parts: Column | None =
             for part in slices(batch) if parts is None else [batch]:
                 keys = part.column("doc_id").to_pylist()
                 if parts is None:
-                    docs_ids = [[(x[:-4], True)] for x in library.encode(part.column("text").to_pylist(), 0)]
+                    docs_ids = [[(x, True)] for x in library.encode(part.column("text").to_pylist(), None)]
                 else:
-                    docs_ids = [[(library.encode([p and p["text"]], 0)[0][:-4], bool(p and p["loss"])) for p in row or []] or [(b"", True)] for row in part.column("parts").to_pylist()]
+                    docs_ids = [[(library.encode([p and p["text"]], None)[0], bool(p and p["loss"])) for p in row or []] or [(b"", True)] for row in part.column("parts").to_pylist()]
                 for key, own in zip(keys, docs_ids):
                     add(packer.put(Document(key, own, end)))
                 yield batch_of_rows()

@@ -145,7 +145,8 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     for shard, n in sorted(map(tuple, segments.groupBy("shard").agg(F.sum("n_ids")).collect())):
         base.append((shard, before))
         before += n
-    return segments.join(spark.createDataFrame(base, "shard int, before long"), "shard").withColumn("start", F.col("before") + F.col("shard_start")).drop("before")
+    offsets = F.broadcast(spark.createDataFrame(base, "shard int, before long"))  # a row a shard
+    return segments.join(offsets, "shard").withColumn("start", F.col("before") + F.col("shard_start")).drop("before")
 
 
 def document_digests(segments: DataFrame) -> DataFrame:

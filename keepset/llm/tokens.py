@@ -1,19 +1,24 @@
-"""Token ids of whole texts with the tokenizers library, remembered by blank-separated piece.
+"""Token ids of whole texts with the tokenizers library, remembered by piece.
 
-A blank that a non-blank follows starts a new pre-token in both vocabularies used here, so a text's ids are those of its
-pieces, one after another. A text in which a blank is followed by white space or ends the text is encoded in one go.
+Both vocabularies used here part a text into pre-tokens before they merge, and a blank that a non-blank follows always starts a
+new one, so a text's ids are those of its blank-separated pieces, one after another. Where every full stop and comma of a text
+stands between letters, digits and white space, and no line end touches other white space, these characters are pre-tokens of
+their own and part the text further. A text in which a blank is followed by white space or ends the text is encoded in one go.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: Pieces remembered by one Python worker at most; beyond it the memory starts anew.
-MEMO = 300_000
-_PLAIN_ONLY = re.compile(r" (?=\s|\Z)")
+#: Pieces remembered by one Python worker: two generations of so many at most.
+MEMO = 500_000
+_BLANK = re.compile(r" (?=\s|\Z)")
+_LINE = re.compile(r"\n(?:(?<=[^\S ]\n)|(?=[^\S ]))")
+_MARK = re.compile("[.,](?:(?<![0-9A-Za-zÀ-ÖØ-öø-ÿ][.,])|(?![ \n0-9A-Za-zÀ-ÖØ-öø-ÿ]|\\Z))")
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -30,43 +35,61 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
+def _parted(text: str) -> str | None:
+    """The text with \0 between its pieces."""
+    if "\0" in text or _BLANK.search(text):
+        return None
+    out = text.replace(" ", "\0 ")
+    if not _LINE.search(text) and not _MARK.search(text):
+        out = out.replace("\n", "\0\n\0").replace(".", "\0.\0").replace(",", "\0,\0")
+    return out
+
+
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
+        self.most, self.young, self.old = most, {}, {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _known(self, wanted: list[str]) -> list[bytes]:
+        """The ids of each wanted piece; when the young generation is full it becomes the old one."""
+        if len(self.young) + len(wanted) > self.most and self.young:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        lacking = [x for x in wanted if x not in young]
+        if old:
+            young.update([(x, old[x]) for x in lacking if x in old])
+            lacking = [x for x in lacking if x not in young]
+        for i in range(0, len(lacking), 2048):
+            young.update(zip(lacking[i : i + 2048], self.whole(lacking[i : i + 2048])))
+        return [young[x] for x in wanted]
+
+    def encode(self, texts: list[str | None], end: int | None) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (null: empty), followed by end."""
-        tail = int(end).to_bytes(4, "little")
-        pieces: list[list[str] | None] = []
-        odd: list[str] = []
-        for text in texts:
-            text = text or ""
-            if _PLAIN_ONLY.search(text):
-                odd.append(text)
-                pieces.append(None)
-            else:
-                first, *rest = text.split(" ")
-                pieces.append([first, *(" " + x for x in rest)] if rest else [first])
-        wanted = set().union(*(x for x in pieces if x is not None))
-        if len(self.memo) + len(wanted) > MEMO:
-            self.memo = {}
-        new = [x for x in wanted if x not in self.memo]
-        for i in range(0, len(new), 2048):
-            self.memo.update(zip(new[i : i + 2048], self._whole(new[i : i + 2048])))
-        whole = iter([y for x in odd for y in self._whole([x])])
-        get = self.memo.__getitem__
-        return [(next(whole) if x is None else b"".join(map(get, x))) + tail for x in pieces]
-
-
-def slices(batch, rows: int = 256, chars: int = 2_000_000):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        tail = b"" if end is None else int(end).to_bytes(4, "little")
+        parted = [_parted(x or "") for x in texts]
+        lists = pc.split_pattern(pa.array([x or "" for x in parted], pa.large_string()), "\0")
+        coded = lists.values.dictionary_encode()
+        known = self._known(coded.dictionary.to_pylist())
+        code, size = coded.indices.to_numpy(), np.array([len(x) // 4 for x in known], dtype=np.int64)
+        flat, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        sizes = size[code]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(start[code] - ends[:-1], sizes) + np.arange(ends[-1])]
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        return [(self.whole([text or ""])[0] if x is None else ids[a:b].tobytes()) + tail for text, x, a, b in zip(texts, parted, bounds, bounds[1:])]
+
+
+def slices(batch, rows: int = 1024, chars: int = 2_000_000):
     """A record batch in parts of some rows, fewer where their texts are long."""
     import pyarrow.compute as pc
 
