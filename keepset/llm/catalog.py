@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from keepset.llm import lengths, packing, shards
+from keepset.llm import lengths, packing, quality, secrets, shards
 
 QUERIES = {
     "op1_token_shards": shards.op1_token_shards,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op5_pack_sequences": packing.op5_pack_sequences,
     "op8_length_histogram": lengths.op8_length_histogram,
+    "op9_secret_scan": secrets.op9_secret_scan,
 }
 ORACLES: dict[str, str] = {}
 
