@@ -19,6 +19,7 @@ MEMO = 500_000
 _BLANK = re.compile(r" (?=\s|\Z)")
 _LINE = re.compile(r"\n(?:(?<=[^\S ]\n)|(?=[^\S ]))")
 _MARK = re.compile("[.,](?:(?<![0-9A-Za-zÀ-ÖØ-öø-ÿ][.,])|(?![ \n0-9A-Za-zÀ-ÖØ-öø-ÿ]|\\Z))")
+_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -53,10 +54,24 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.most, self.young, self.old = most, {}, {}
+        tokens = self.library.get_vocab()
+        self.opens = np.zeros(max(tokens.values()) + 2, dtype=bool)  # ids that start a word after a blank, or
+        self.closes = self.opens.copy()  # ids that end a word
+        self.opens[[i for x, i in tokens.items() if x.startswith("\u0120")]] = True
+        self.closes[[i for x, i in tokens.items() if x.endswith("</w>")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """As whole(), for words of letters after a blank: one text, whose ids are parted where words start or end."""
+        ids = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(self.closes[ids]) + 1 if self.closes.any() else np.append(np.flatnonzero(self.opens[ids])[1:], len(ids))
+        if len(cuts) != len(words) or cuts[-1] != len(ids):
+            return self.whole(words)
+        raw, ends = ids.tobytes(), (4 * cuts).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
     def _known(self, wanted: list[str]) -> list[bytes]:
         """The ids of each wanted piece; when the young generation is full it becomes the old one."""
         if len(self.young) + len(wanted) > self.most and self.young:
@@ -66,8 +81,11 @@ class Encoder:
         if old:
             young.update([(x, old[x]) for x in lacking if x in old])
             lacking = [x for x in lacking if x not in young]
-        for i in range(0, len(lacking), 2048):
-            young.update(zip(lacking[i : i + 2048], self.whole(lacking[i : i + 2048])))
+        plain = [x for x in lacking if _WORD.fullmatch(x)]
+        others = [x for x in lacking if not _WORD.fullmatch(x)]
+        for of, every in ((self._words, plain), (self.whole, others)):
+            for i in range(0, len(every), 2048):
+                young.update(zip(every[i : i + 2048], of(every[i : i + 2048])))
         return [young[x] for x in wanted]
 
     def encode(self, texts: list[str | None], end: int | None) -> list[bytes]:
@@ -80,16 +98,13 @@ class Encoder:
         lists = pc.split_pattern(pa.array([x or "" for x in parted], pa.large_string()), "\0")
         coded = lists.values.dictionary_encode()
         known = self._known(coded.dictionary.to_pylist())
-        code, size = coded.indices.to_numpy(), np.array([len(x) // 4 for x in known], dtype=np.int64)
-        flat, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
-        sizes = size[code]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = flat[np.repeat(start[code] - ends[:-1], sizes) + np.arange(ends[-1])]
-        bounds = ends[lists.offsets.to_numpy()].tolist()
-        return [(self.whole([text or ""])[0] if x is None else ids[a:b].tobytes()) + tail for text, x, a, b in zip(texts, parted, bounds, bounds[1:])]
+        taken = pa.array(known, pa.large_binary()).take(coded.indices)
+        raw = memoryview(taken.buffers()[2] or b"")
+        bounds = np.frombuffer(taken.buffers()[1], np.int64)[lists.offsets.to_numpy()].tolist()
+        return [(self.whole([text or ""])[0] if x is None else bytes(raw[a:b])) + tail for text, x, a, b in zip(texts, parted, bounds, bounds[1:])]
 
 
-def slices(batch, rows: int = 1024, chars: int = 2_000_000):
+def slices(batch, rows: int = 4096, chars: int = 8_000_000):
     """A record batch in parts of some rows, fewer where their texts are long."""
     import pyarrow.compute as pc
 
