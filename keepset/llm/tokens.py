@@ -14,12 +14,13 @@ from array import array
 
 import numpy as np
 
-#: Pieces remembered by one Python worker: two generations of so many at most.
-MEMO = 500_000
+#: Pieces remembered by one Python worker at most; beyond it only those of the last texts stay.
+MEMO = 600_000
+_ODD = re.compile(r"[^\S \n]|[\0]")
 _BLANK = re.compile(r" (?=\s|\Z)")
 _LINE = re.compile(r"\n(?:(?<=[^\S ]\n)|(?=[^\S ]))")
 _MARK = re.compile("[.,](?:(?<![0-9A-Za-zÀ-ÖØ-öø-ÿ][.,])|(?![ \n0-9A-Za-zÀ-ÖØ-öø-ÿ]|\\Z))")
-_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
+_WORD = "^ [A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -38,22 +39,32 @@ def encoder(path: str) -> Encoder:
 
 def _parted(text: str) -> str | None:
     """The text with \0 between its pieces."""
-    if "\0" in text or _BLANK.search(text):
-        return None
+    if _ODD.search(text):
+        if "\0" in text or _BLANK.search(text):
+            return None
+        apart = not _LINE.search(text)
+    else:
+        if "  " in text or " \n" in text or text.endswith(" "):
+            return None
+        apart = "\n\n" not in text
     out = text.replace(" ", "\0 ")
-    if not _LINE.search(text) and not _MARK.search(text):
+    if apart and not _MARK.search(text):
         out = out.replace("\n", "\0\n\0").replace(".", "\0.\0").replace(",", "\0,\0")
     return out
 
 
 class Encoder:
+    """Pieces and their ids are kept in Arrow arrays, so that looking up, learning and joining them makes no Python objects."""
+
     def __init__(self, path: str, most: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.most, self.young, self.old = most, {}, {}
+        self.most = most
+        self.pieces, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         tokens = self.library.get_vocab()
         self.opens = np.zeros(max(tokens.values()) + 2, dtype=bool)  # ids that start a word after a blank, or
         self.closes = self.opens.copy()  # ids that end a word
@@ -63,30 +74,41 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _words(self, words):
         """As whole(), for words of letters after a blank: one text, whose ids are parted where words start or end."""
-        ids = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        import pyarrow as pa
+
+        if not len(words):
+            return pa.array([], pa.large_binary())
+        text = words.buffers()[2].to_pybytes()[: int(np.frombuffer(words.buffers()[1], np.int64)[len(words)])].decode()
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(self.closes[ids]) + 1 if self.closes.any() else np.append(np.flatnonzero(self.opens[ids])[1:], len(ids))
         if len(cuts) != len(words) or cuts[-1] != len(ids):
-            return self.whole(words)
-        raw, ends = ids.tobytes(), (4 * cuts).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _known(self, wanted: list[str]) -> list[bytes]:
-        """The ids of each wanted piece; when the young generation is full it becomes the old one."""
-        if len(self.young) + len(wanted) > self.most and self.young:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        lacking = [x for x in wanted if x not in young]
-        if old:
-            young.update([(x, old[x]) for x in lacking if x in old])
-            lacking = [x for x in lacking if x not in young]
-        plain = [x for x in lacking if _WORD.fullmatch(x)]
-        others = [x for x in lacking if not _WORD.fullmatch(x)]
-        for of, every in ((self._words, plain), (self.whole, others)):
-            for i in range(0, len(every), 2048):
-                young.update(zip(every[i : i + 2048], of(every[i : i + 2048])))
-        return [young[x] for x in wanted]
+            return pa.array(self.whole(words.to_pylist()), pa.large_binary())
+        ends = np.concatenate([[0], 4 * cuts]).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+
+    def _places(self, wanted) -> np.ndarray:
+        """Where each wanted piece stands among the remembered ones; new ones are learned."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = pc.index_in(wanted, value_set=self.pieces)
+        places = at.fill_null(-1).to_numpy().astype(np.int64)
+        lacking = np.flatnonzero(places < 0)
+        if len(lacking):
+            new = wanted.take(pa.array(lacking))
+            plain = pc.match_substring_regex(new, _WORD)
+            is_plain = plain.to_numpy(zero_copy_only=False)
+            words, others = new.filter(plain), new.filter(pc.invert(plain))
+            parts = [self._words(words.slice(i, 4096).take(pa.array(np.arange(min(4096, len(words) - i))))) for i in range(0, len(words), 4096)]
+            rest = others.to_pylist()
+            parts += [pa.array(self.whole(rest[i : i + 2048]), pa.large_binary()) for i in range(0, len(rest), 2048)]
+            places[lacking[is_plain]] = len(self.pieces) + np.arange(len(words))
+            places[lacking[~is_plain]] = len(self.pieces) + len(words) + np.arange(len(rest))
+            self.pieces = pa.concat_arrays([self.pieces, words, others])
+            self.ids = pa.concat_arrays([self.ids, *parts])
+        return places
 
     def encode(self, texts: list[str | None], end: int | None) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (null: empty), followed by end."""
@@ -97,14 +119,17 @@ class Encoder:
         parted = [_parted(x or "") for x in texts]
         lists = pc.split_pattern(pa.array([x or "" for x in parted], pa.large_string()), "\0")
         coded = lists.values.dictionary_encode()
-        known = self._known(coded.dictionary.to_pylist())
-        taken = pa.array(known, pa.large_binary()).take(coded.indices)
+        places = self._places(coded.dictionary)
+        taken = self.ids.take(pa.array(places[coded.indices.to_numpy()]))
+        if len(self.pieces) > self.most:
+            used = pa.array(np.unique(places))
+            self.pieces, self.ids = self.pieces.take(used), self.ids.take(used)
         raw = memoryview(taken.buffers()[2] or b"")
         bounds = np.frombuffer(taken.buffers()[1], np.int64)[lists.offsets.to_numpy()].tolist()
         return [(self.whole([text or ""])[0] if x is None else bytes(raw[a:b])) + tail for text, x, a, b in zip(texts, parted, bounds, bounds[1:])]
 
 
-def slices(batch, rows: int = 4096, chars: int = 8_000_000):
+def slices(batch, rows: int = 2048, chars: int = 4_000_000):
     """A record batch in parts of some rows, fewer where their texts are long."""
     import pyarrow.compute as pc
 
