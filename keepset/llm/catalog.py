@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from keepset.llm import lengths, lines, packing, quality, ruleset, secrets, shards, simhash, spans
+from keepset.llm import lengths, lines, packing, quality, ruleset, secrets, shards, simhash, spans, templates
 
 QUERIES = {
     "op1_token_shards": shards.op1_token_shards,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_template_matches": templates.op3_template_matches,
     "op4_simhash_pivots": simhash.op4_simhash_pivots,
     "op5_pack_sequences": packing.op5_pack_sequences,
     "op6_rule_ensemble": ruleset.op6_rule_ensemble,

@@ -137,54 +137,52 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibratio
     return Model(weights.reshape(BLOCKS, size), slope, shift, bits)
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
-    """All columns of docs with keep_text, else doc_id; then COUNTS, base_failed, probability and kept."""
+def _judged(texts: list[bytes], model: Model | None, threshold: float) -> list[tuple]:
+    """COUNTS, base_failed, probability and kept of each text."""
+    rows = []
+    for text in texts:
+        words = text.split()
+        n, again = len(words), W.n_repeat_words(W.word_numbers(words))
+        failed = n < LEAST_WORDS or 100 * again > MOST_REPEATED * n
+        p = None if model is None else float(model.probability(np.float64(model.raw(buckets(text, words, model.bits)))))
+        rows.append((n, W.word_chars(text), W.n_symbols(text), W.n_dup_lines(text), again, failed, p, not failed and (p is None or p >= threshold)))
+    return rows
+
+
+def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, COUNTS, base_failed, probability (null without a model) and kept."""
     ship(docs.sparkSession)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # of a fixed size
-    counts = ", ".join(f"{c} long" for c in COUNTS)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = shared.value
+        kinds = [pa.int64()] * len(COUNTS) + [pa.bool_(), pa.float64(), pa.bool_()]
         for batch in batches:
             for part in slices(batch):
-                rows = []
-                for text in W.texts_of(part):
-                    words = text.split()
-                    n, again = len(words), W.n_repeat_words(W.word_numbers(words))
-                    failed = n < LEAST_WORDS or 100 * again > MOST_REPEATED * n
-                    p = None if model is None else float(model.probability(np.float64(model.raw(buckets(text, words, model.bits)))))
-                    rows.append((n, W.word_chars(text), W.n_symbols(text), W.n_dup_lines(text), again, failed, p, not failed and (p is None or p >= threshold)))
-                found = [pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()])]
-                yield pa.RecordBatch.from_arrays([*part.columns, *found] if keep_text else [part.column("doc_id"), *found], names)
-
-    if keep_text:
-        clash = {*COUNTS, "base_failed", "probability", "kept"} & set(docs.columns)
-        if clash:
-            raise ValueError(f"rename {sorted(clash)} first")
-        chosen = docs
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {counts}, base_failed boolean, probability double, kept boolean"
-        names = [*docs.columns, *COUNTS, "base_failed", "probability", "kept"]
-    else:
-        chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        schema = f"doc_id long, {counts}, base_failed boolean, probability double, kept boolean"
-        names = ["doc_id", *COUNTS, "base_failed", "probability", "kept"]
-    return chosen.mapInArrow(scored, schema)
+                found = zip(*_judged(W.texts_of(part), shared.value, threshold))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(found, kinds))], ["doc_id", *COUNTS, "base_failed", "probability", "kept"])
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return chosen.mapInArrow(scored, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, probability double, kept boolean")
+
+
+def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose texts pass, with all their columns."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def passed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array([x[-1] for x in _judged(W.texts_of(part), shared.value, threshold)], pa.bool_()))
+
+    return docs.mapInArrow(passed, docs.schema)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
-
-def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    out = score(docs.select("doc_id", "text"), fit(docs, labels), keep_text=True) if set(docs.columns) == {"doc_id", "text"} else None
-    if out is None:
-        texts = F.col("kept_row.text").alias("text")
-        whole = docs.select("text", F.struct(*docs.columns).alias("kept_row"))
-        out = score(whole.withColumn("doc_id", F.col("kept_row.doc_id")), fit(docs, labels), keep_text=True)
-        return out.where("kept").select(*(texts if c == "text" else F.col("kept_row")[c].alias(c) for c in docs.columns))
-    return out.where("kept").select(*docs.columns)
