@@ -6,10 +6,10 @@ line stands in a document with a smaller id, or an equal one earlier in the same
 
 1. Equal lines meet first, counted within each task before the shuffle; from then on each different line is one row.
 2. A line of length l is cut into EDITS + 1 segments. Some segment of it is found unchanged in any linked line, at a place that
-   the two lengths bound: each line puts its own segments into the index under (length, number, segment), and probes it with those
-   substrings that may match for its own and the EDITS next smaller lengths.
-3. The join of probes and index also compares, inside its condition, how often either line has each of eight frequent letters; one
-   edit changes these counts by two at most. So groups of lines that only share a segment leave few pairs.
+   the two lengths bound: each line puts its own segments into the index, and probes it with those substrings that may match
+   the segments of lines of its own and the EDITS next smaller lengths.
+3. The join of probes and index also compares, inside its condition, the lengths and how often either line has each of eight
+   frequent letters; one edit changes these counts by two at most. So lines that only share a segment leave few pairs.
 4. The pairs that are left are verified once each by Spark's levenshtein with a threshold, which computes the band of the matrix
    only and stops early. (It takes the place of a bit-parallel one: words of bits in higher-order functions are interpreted.)
 
@@ -28,6 +28,8 @@ from keepset.runtime import Scratch
 #: Edits that link lines, and the characters that a line needs to be linked to another.
 EDITS, LEAST = 2, 24
 LETTERS = "etanorih"
+#: Pairs whose numbers may be broadcast: 16 bytes each.
+FEW = 1_000_000
 _WORD = "[^\\x20\\x09-\\x0D]"
 
 
@@ -47,16 +49,17 @@ def _hashes(line: Column) -> list[Column]:
 
 
 def different_lines(docs: DataFrame) -> DataFrame:
-    """One row per different line: line, first (the smallest doc_id that has it), number (unique)."""
+    """One row per different line: line, first (the smallest doc_id that has it), number (unique), length and sketch."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_marked(F.col("text"))).alias("line")).where(_has_word(F.col("line")))
-    return own.groupBy("line").agg(F.min("doc_id").alias("first")).withColumn("number", F.monotonically_increasing_id())
+    lines = own.groupBy("line").agg(F.min("doc_id").alias("first")).withColumn("number", F.monotonically_increasing_id())
+    return lines.withColumns({"length": F.char_length("line"), "sketch": _sketch(F.col("line"))})
 
 
 def _sketch(line: Column) -> Column:
     """Counts of the frequent letters modulo 16, four bits each."""
     out = F.lit(0).cast("int")
     for k, letter in enumerate(LETTERS):
-        count = F.char_length(line) - F.char_length(F.replace(line, F.lit(letter)))
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter)))
         out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)), 4 * k))
     return out
 
@@ -85,36 +88,40 @@ def _shifts(i: int, more: int, edits: int) -> range:
 
 
 def links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(a, b) numbers of different lines with at most `edits` edits between them, each pair once. lines: number, line."""
-    lines = lines.withColumn("length", F.char_length("line")).where(F.col("length") >= least).withColumn("sketch", _sketch(F.col("line")))
-    line, length = F.col("line"), F.col("length")
+    """(a, b) numbers of different lines that may have at most `edits` edits between them, each pair once, b the longer one.
 
-    def key(of: Column, i: int, at: Column, size: Column) -> Column:
-        return F.xxhash64(of.cast("int"), F.lit(i), F.substring(line, at + 1, size))
+    lines: different_lines(). Keys have the segment's number and characters; the lengths are compared in the join's condition, so
+    probes that several lengths share are sent once.
+    """
+    lines = lines.where(F.col("length") >= least)
+    length = F.col("length")
+
+    def key(i: int, at: Column, size: Column) -> Column:
+        return F.xxhash64(F.lit(i), F.substring(F.col("line"), at + 1, size))
 
     own, probes = [], []
     for i in range(edits + 1):
-        at, size = _segment(length, i, edits)
-        own.append(key(length, i, at, size))
+        own.append(key(i, *_segment(length, i, edits)))
         for more in range(edits + 1):
-            shorter = length - more
-            at, size = _segment(shorter, i, edits)
-            for shift in _shifts(i, more, edits):
-                fits = (at + shift >= 0) & (at + shift + size <= length) & (shorter >= least)
-                probes.append(F.when(fits, F.struct(key(shorter, i, at + shift, size).alias("key"), F.lit(more).alias("more"))))
-    index = lines.select(F.col("number").alias("a"), F.col("sketch").alias("sketch_a"), F.explode(F.array_distinct(F.array(*own))).alias("key"))
-    probe = lines.select(F.col("number").alias("b"), "sketch", F.explode(F.array_compact(F.array(*probes))).alias("probe")).select("b", "sketch", "probe.key", "probe.more")
-    met = (index["key"] == probe["key"]) & ((probe["more"] > 0) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b"))
-    return index.join(probe, met & (_least_changes(F.col("sketch_a"), F.col("sketch")) <= 2 * edits)).select("a", "b").distinct()
-
-
-def verified(pairs: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """The pairs whose lines are within `edits`; lines that no pair has are left out before any text is shuffled by pair."""
+            at, size = _segment(length - more, i, edits)
+            probes += [F.when(length - more >= least, key(i, at + shift, size)) for shift in _shifts(i, more, edits)]
+    rows = lambda keys, *names: lines.select(F.col("number").alias(names[0]), length.alias(names[1]), F.col("sketch").alias(names[2]), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias(names[3]))
+    index, probe = rows(own, "a", "length_a", "sketch_a", "key_a"), rows(probes, "b", "length_b", "sketch_b", "key_b")
+    more = F.col("length_b") - F.col("length_a")
+    fits = more.between(0, edits) & ((more > 0) | (F.col("a") < F.col("b"))) & (_least_changes(F.col("sketch_a"), F.col("sketch_b")) <= 2 * edits)
+    return index.join(probe, (F.col("key_a") == F.col("key_b")) & fits).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, lines: DataFrame, edits: int = EDITS, few: int = FEW) -> DataFrame:
+    """The pairs whose lines are within `edits`. Texts of lines that no pair has are left out first: by a broadcast of the pairs'
+    numbers if they are few, else by a shuffle."""
     wanted = pairs.select(F.col("a").alias("number")).union(pairs.select("b")).distinct()
+    if pairs.count() <= few:
+        wanted = F.broadcast(wanted)
     texts = lines.select("number", "line").join(wanted, "number", "left_semi")
-    sides = pairs.select("a", "b", F.col("a").alias("number")).union(pairs.select("a", "b", F.col("b").alias("number"))).join(texts, "number")
-    both = sides.groupBy("a", "b").agg(F.min("line").alias("x"), F.max("line").alias("y"))
-    return both.where(F.levenshtein("x", "y", edits) >= 0).select("a", "b")
+    held = pairs.join(texts.select(F.col("number").alias("a"), F.col("line").alias("x")), "a")
+    other = texts.select(F.col("number").alias("other"), F.col("line").alias("y"))
+    return held.join(other, (F.col("b") == F.col("other")) & (F.levenshtein("x", "y", edits) >= 0)).select("a", "b")
 
 
 def line_classes(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = LEAST) -> DataFrame:
