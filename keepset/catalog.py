@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from keepset.plans import documents, events, review, vectors  # noqa: F401  (they register themselves)
+from keepset.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
