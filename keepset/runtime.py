@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -67,17 +68,24 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        out = self.spark.read.schema(df.schema).parquet(self.path(name))
-        self.forget_shuffles()
-        return out
-
-    def forget_shuffles(self) -> None:
-        """Spark removes the shuffle files of plans that are no longer referenced when the driver collects garbage."""
-        import gc
-
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """df, written and read back. Its shuffle files go as soon as it is written."""
+        with self.cleaning():
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    @contextlib.contextmanager
+    def cleaning(self):
+        """Queries that run inside leave no shuffle files behind."""
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, before)
 
     def drop(self, name: str) -> None:
         self._delete(self.path(name))
