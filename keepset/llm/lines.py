@@ -9,7 +9,7 @@ line stands in a document with a smaller id, or an equal one earlier in the same
    the two lengths bound: each line puts its own segments into the index, and probes it with those substrings that may match
    the segments of lines of its own and the EDITS next smaller lengths.
 3. The join of probes and index also compares, inside its condition, the lengths and how often either line has each of eight
-   frequent letters; one edit changes these counts by two at most. So lines that only share a segment leave few pairs.
+   frequent letters; an edit adds one letter at most and takes one at most. So lines that only share a segment leave few pairs.
 4. The pairs that are left are verified once each by Spark's levenshtein with a threshold, which computes the band of the matrix
    only and stops early. (It takes the place of a bit-parallel one: words of bits in higher-order functions are interpreted.)
 
@@ -64,13 +64,17 @@ def _sketch(line: Column) -> Column:
     return out
 
 
-def _least_changes(x: Column, y: Column) -> Column:
-    """By how much two sketches' counts differ at least, in all."""
-    out = F.lit(0)
+def _possible(shorter: Column, longer: Column, more: Column, edits: int) -> Column:
+    """Whether two sketches' counts can be `edits` apart, if the second line is longer by `more`.
+
+    An insertion adds one letter, a deletion takes one, a replacement does both; `more` of the edits are insertions at least.
+    """
+    added = taken = F.lit(0)
     for k in range(len(LETTERS)):
-        apart = F.abs(F.shiftrightunsigned(x, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(y, 4 * k).bitwiseAND(F.lit(15)))
-        out = out + F.least(apart, F.lit(16) - apart)
-    return out
+        count = lambda of: F.shiftrightunsigned(of, 4 * k).bitwiseAND(F.lit(15))
+        change = (count(longer) - count(shorter) + 8).bitwiseAND(F.lit(15)) - 8
+        added, taken = added + F.greatest(change, F.lit(0)), taken + F.greatest(-change, F.lit(0))
+    return (added <= edits) & (taken <= edits - more)
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -108,7 +112,7 @@ def links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame
     rows = lambda keys, *names: lines.select(F.col("number").alias(names[0]), length.alias(names[1]), F.col("sketch").alias(names[2]), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias(names[3]))
     index, probe = rows(own, "a", "length_a", "sketch_a", "key_a"), rows(probes, "b", "length_b", "sketch_b", "key_b")
     more = F.col("length_b") - F.col("length_a")
-    fits = more.between(0, edits) & ((more > 0) | (F.col("a") < F.col("b"))) & (_least_changes(F.col("sketch_a"), F.col("sketch_b")) <= 2 * edits)
+    fits = more.between(0, edits) & ((more > 0) | (F.col("a") < F.col("b"))) & _possible(F.col("sketch_a"), F.col("sketch_b"), more, edits)
     return index.join(probe, (F.col("key_a") == F.col("key_b")) & fits).select("a", "b").distinct()
 
 
