@@ -25,7 +25,7 @@ from keepset.llm.tokens import slices
 from keepset.runtime import ship
 
 #: Buckets of a block (a power of two), labelled documents of each class that are fitted, those that calibrate, and the threshold.
-BITS, FIT_ROWS, CALIBRATION_ROWS, THRESHOLD = 12, 1000, 2000, 0.3
+BITS, FIT_ROWS, CALIBRATION_ROWS, THRESHOLD = 11, 1000, 2000, 0.3
 BLOCKS = 4
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The base rules: fewer words, or a larger percentage of words in repeated windows, fail.
@@ -68,8 +68,8 @@ def _shares(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return where, out.reshape(-1)[where]
 
 
-def _collected(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature matrix and labels of a bounded sample; the features are made on the executors."""
+def _collected(rows: DataFrame, bits: int):
+    """Places, values (arrays of arrays) and labels of a bounded sample's features, in the order of ids; made on the executors."""
     ship(rows.sparkSession)
 
     def features(batches: Iterator) -> Iterator:
@@ -78,30 +78,31 @@ def _collected(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for part in slices(batch, 64):
                 found = [_shares(x, bits) for x in W.texts_of(part)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([x.tolist() for x, _ in found], pa.list_(pa.int32())), pa.array([y.tolist() for _, y in found], pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())), pa.array([y for _, y in found], pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
 
-    table = rows.mapInArrow(features, "doc_id long, label int, at array<int>, value array<float>").toArrow()
-    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
-    x = np.zeros((len(order), BLOCKS << bits), dtype=np.float32)
-    at, value = table.column("at").combine_chunks(), table.column("value").combine_chunks()
-    for row, k in enumerate(order):
-        x[row, at[int(k)].values.to_numpy()] = value[int(k)].values.to_numpy()
-    return x, table.column("label").to_numpy()[order].astype(np.float64)
+    table = rows.mapInArrow(features, "doc_id long, label int, at array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    return table.column("at").combine_chunks(), table.column("value").combine_chunks(), table.column("label").to_numpy().astype(np.float64)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
+def _raw(at, value, weights: np.ndarray) -> np.ndarray:
+    return np.array([float(weights[at[k].values.to_numpy()] @ value[k].values.to_numpy()) for k in range(len(at))])
+
+
+def _logistic(at, value, y: np.ndarray, size: int, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Weights by Adam over the whole sample, features scaled by their root mean square; always the same for the same rows."""
-    scale = 1 / np.sqrt((x * x).mean(axis=0) + 1e-8)
-    x = x * scale.astype(np.float32)
-    x /= np.sqrt((x * x).sum(axis=1, keepdims=True)).mean() + 1e-8
-    factor = np.float32(1)
-    w, m, v = np.zeros(x.shape[1], np.float32), 0.0, 0.0
+    x = np.zeros((len(y), size), dtype=np.float32)
+    for k in range(len(y)):
+        x[k, at[k].values.to_numpy()] = value[k].values.to_numpy()
+    scale = (1 / np.sqrt(np.einsum("ij,ij->j", x, x) / len(x) + 1e-8)).astype(np.float32)
+    x *= scale
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x)).mean() + np.float32(1e-8)
+    w, m, v = np.zeros(size, np.float32), 0.0, 0.0
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
         g = x.T @ (p - y).astype(np.float32) / np.float32(len(y)) + np.float32(decay) * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - np.float32(rate / 10) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return (w * scale * factor).astype(np.float64)
+        w = w - np.float32(rate) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return (w * scale).astype(np.float64)
 
 
 def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -124,14 +125,14 @@ def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS, bits: int = BITS) -> Model | None:
     """The model, or None if the labels lack a class. One fifth of the labels, by a hash of the id, only calibrates."""
     apart = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibration")), F.lit(5)) == 0
-    x, y = _collected(sample(docs, labels, "quality", fit_rows, ~apart, by_class=True), bits)
+    at, value, y = _collected(sample(docs, labels, "quality", fit_rows, ~apart, by_class=True), bits)
     if len(set(y.tolist())) < 2:
         return None
-    weights = _logistic(x, y)
-    held, truth = _collected(sample(docs, labels, "quality", calibration_rows, apart), bits)
-    raw = held @ weights
+    weights = _logistic(at, value, y, BLOCKS << bits)
+    held, shares, truth = _collected(sample(docs, labels, "quality", calibration_rows, apart), bits)
+    raw = _raw(held, shares, weights)
     if len(set(truth.tolist())) < 2:
-        raw, truth = x @ weights, y
+        raw, truth = _raw(at, value, weights), y
     slope, shift = _platt(raw, truth)
     size = 1 << bits
     return Model(weights.reshape(BLOCKS, size), slope, shift, bits)
