@@ -17,7 +17,7 @@ from keepset.llm.tokens import encoder, slices, vocabulary
 from keepset.runtime import ship
 
 #: Lengths of one range are summed in one task; the ranges' own sums are few.
-RANGE = 4096
+RANGE = 64
 
 
 def length_histogram(docs: DataFrame, vocabulary_path: str) -> DataFrame:

@@ -149,7 +149,7 @@ def pack(docs: DataFrame, vocabulary_path: str, end: int, parts: Column | None =
     """
     ship(docs.sparkSession)
     schema = PIECES + (", ids binary" if ids else "")
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    names, plain = [x.strip().split()[0] for x in schema.split(",")], parts is None
 
     def packed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -175,9 +175,9 @@ def pack(docs: DataFrame, vocabulary_path: str, end: int, parts: Column | None =
             return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "ids" else pa.int64()) for x, n in zip(columns, names)], names)
 
         for batch in batches:
-            for part in slices(batch) if parts is None else [batch]:
+            for part in slices(batch) if plain else [batch]:
                 keys = part.column("doc_id").to_pylist()
-                if parts is None:
+                if plain:
                     docs_ids = [[(x, True)] for x in library.encode(part.column("text").to_pylist(), None)]
                 else:
                     docs_ids = [[(library.encode([p and p["text"]], None)[0], bool(p and p["loss"])) for p in row or []] or [(b"", True)] for row in part.column("parts").to_pylist()]

@@ -174,6 +174,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
         p = 1 / (1 + np.exp(-raw))
         raw = raw + _tree(x, codes, cuts, p - y, np.maximum(p * (1 - p), 1e-6), rng, 0.3, rules)
     found = sorted(rules, key=lambda r: sorted((c.stat, c.above, c.cut) for c in r))
+    if not found:
+        return Ensemble([], start)
     holds = np.stack([np.logical_and.reduce([c.holds(x) for c in r]) for r in found], axis=1).astype(np.float64)
     weights, intercept = _lasso(holds, y, LASSO)
     return Ensemble([(r, float(w)) for r, w in zip(found, weights) if abs(w) > 1e-6], intercept)

@@ -169,6 +169,6 @@ def document_digests(segments: DataFrame) -> DataFrame:
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op1")
-    write_segments(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch.path("segments"), vocabulary("byte_bpe_50k.json"), end=0)
-    scratch.forget_shuffles()
+    with scratch.cleaning():
+        write_segments(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch.path("segments"), vocabulary("byte_bpe_50k.json"), end=0)
     return document_digests(read_segments(spark, scratch.path("segments")))
