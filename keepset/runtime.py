@@ -10,6 +10,7 @@ import tempfile
 import threading
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,36 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCK = threading.Lock()
 
 
+#: Rows of an Arrow batch where the session leaves Spark's own number; rows here hold whole texts.
+BATCH = 2000
+
+
+def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """function for mapInArrow that gives the memory it no longer needs back to the system when a task ends.
+
+    Workers are used again and wait between tasks; without this each one keeps what its largest task took.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor; done once per application."""
+    """Make this package importable on every executor, and batches small; done once per application."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     with _LOCK:
         if getattr(sc, "_keepset_shipped", False):
             return
