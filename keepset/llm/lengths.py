@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keepset.llm.tokens import encoder, slices, vocabulary
-from keepset.runtime import ship
+from keepset.runtime import ship, tidy
 
 #: Lengths of one range are summed in one task; the ranges' own sums are few.
 RANGE = 64
@@ -33,7 +33,7 @@ def length_histogram(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 counts.update(len(x) // 4 for x in library.encode(part.column("text").to_pylist(), None))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["n_tokens", "n_docs"])
 
-    return docs.select("text").mapInArrow(counted, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return docs.select("text").mapInArrow(tidy(counted), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepset.llm.tokens import encoder, slices, vocabulary
-from keepset.runtime import ship
+from keepset.runtime import ship, tidy
 
 #: Tokens, segments and loss-bearing tokens of a sequence; pieces that wait in a partition's pool.
 LIMITS, POOL = (4096, 128, 4096), 512
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, vocabulary_path: str, end: int, parts: Column | None =
         yield batch_of_rows()
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text") if parts is None else parts.alias("parts"))
-    return chosen.mapInArrow(packed, schema)
+    return chosen.mapInArrow(tidy(packed), schema)
 
 
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from keepset.llm import words as W
 from keepset.llm.labelled import sample
 from keepset.llm.tokens import slices
-from keepset.runtime import ship
+from keepset.runtime import ship, tidy
 
 #: Buckets of a block (a power of two), labelled documents of each class that are fitted, those that calibrate, and the threshold.
 BITS, FIT_ROWS, CALIBRATION_ROWS, THRESHOLD = 11, 1000, 2000, 0.3
@@ -80,7 +80,7 @@ def _collected(rows: DataFrame, bits: int):
                 found = [_shares(x, bits) for x in W.texts_of(part)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())), pa.array([y for _, y in found], pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
 
-    table = rows.mapInArrow(features, "doc_id long, label int, at array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    table = rows.mapInArrow(tidy(features), "doc_id long, label int, at array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     return table.column("at").combine_chunks(), table.column("value").combine_chunks(), table.column("label").to_numpy().astype(np.float64)
 
 
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(found, kinds))], ["doc_id", *COUNTS, "base_failed", "probability", "kept"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return chosen.mapInArrow(scored, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, probability double, kept boolean")
+    return chosen.mapInArrow(tidy(scored), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, probability double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -180,7 +180,7 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
             for part in slices(batch):
                 yield part.filter(pa.array([x[-1] for x in _judged(W.texts_of(part), shared.value, threshold)], pa.bool_()))
 
-    return docs.mapInArrow(passed, docs.schema)
+    return docs.mapInArrow(tidy(passed), docs.schema)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from keepset.llm import words as W
 from keepset.llm.labelled import sample
 from keepset.llm.tokens import slices
-from keepset.runtime import ship
+from keepset.runtime import ship, tidy
 
 STATS = (
     "n_words", "word_length", "longest_word", "upper", "digits", "symbols", "exclamations", "bars", "marks", "distinct", "most_common",
@@ -66,7 +66,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x) for x in rows.T)], [*keep, *STATS])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(computed, ", ".join([f"{c} {kinds[c]}" for c in keep] + [f"{s} double" for s in STATS]))
+    return docs.select(*keep, "text").mapInArrow(tidy(computed), ", ".join([f"{c} {kinds[c]}" for c in keep] + [f"{s} double" for s in STATS]))
 
 
 @dataclass(frozen=True)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepset.llm.tokens import slices
-from keepset.runtime import ship
+from keepset.runtime import ship, tidy
 
 KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -124,7 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return chosen.mapInArrow(scanned, "doc_id long, spans array<struct<kind:string,start:long,stop:long>>")
+    return chosen.mapInArrow(tidy(scanned), "doc_id long, spans array<struct<kind:string,start:long,stop:long>>")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

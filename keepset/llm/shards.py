@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepset.llm.tokens import encoder, slices, vocabulary
-from keepset.runtime import Scratch, ship
+from keepset.runtime import Scratch, ship, tidy
 
 BLOCK, PERCENTILE, SEGMENT = 256, 90, 1 << 18
 MAGIC, HEAD, BLOCK_HEAD = b"KPF1", struct.Struct("<4sIHI"), struct.Struct("<IBH")
@@ -135,7 +135,7 @@ def write_segments(docs: DataFrame, path: str, vocabulary_path: str, end: int, b
             yield closed()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
-    rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text").mapInArrow(encoded, SEGMENTS).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
+    rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text").mapInArrow(tidy(encoded), SEGMENTS).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -164,7 +164,7 @@ def document_digests(segments: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for n, b in zip(sizes.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids.as_py(), pa.int64()), pa.array(ends - sizes + start.as_py()), pa.array(sizes), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.select("doc_ids", "lengths", "start", "payload").mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.select("doc_ids", "lengths", "start", "payload").mapInArrow(tidy(digests), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

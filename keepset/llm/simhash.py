@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from keepset.llm.graphs import components
 from keepset.llm.tokens import slices
 from keepset.llm.words import texts_of
-from keepset.runtime import Scratch, ship
+from keepset.runtime import Scratch, ship, tidy
 
 BITS_APART, SHINGLE, SEED = 3, 3, 42
 #: Widths of the blocks that 64 bits are cut into; so many stay equal under BITS_APART changes.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 found = np.array([fingerprint(x) for x in texts_of(part)], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(computed, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(computed), "doc_id long, fingerprint long")
 
 
 def _keys(column):
@@ -172,7 +172,7 @@ def links(nodes: DataFrame, limit: int = BITS_APART, group: int = GROUP) -> Data
         if rest is not None and len(rest[0]):
             yield compared(*rest)
 
-    return cells.select("key", "low", "high", "fingerprint").mapInArrow(swept, "a long, b long")
+    return cells.select("key", "low", "high", "fingerprint").mapInArrow(tidy(swept), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, limit: int = BITS_APART) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from keepset.llm.tokens import slices
 from keepset.llm.words import texts_of
-from keepset.runtime import Scratch, ship
+from keepset.runtime import Scratch, ship, tidy
 
 WINDOW, K = 50, 20
 _ONE, _TWO, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -116,7 +116,7 @@ def _paths(texts: DataFrame, window: int, k: int) -> DataFrame:
                 hashes = [pa.array(x.view(np.int64)) for x in (node, one, two)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("tie").take(at), *hashes, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], [x.split()[0] for x in PATHS.split(", ")])
 
-    return texts.where("doc_id is not null").mapInArrow(found, PATHS)
+    return texts.where("doc_id is not null").mapInArrow(tidy(found), PATHS)
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
                 hashes = [pa.array(np.concatenate(x).view(np.int64)) for x in (one, two)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("tie").take(at), *hashes, pa.array(np.concatenate(starts).astype(np.int32))], ["doc_id", "tie", "one", "two", "start"])
 
-    return texts.mapInArrow(found, "doc_id long, tie long, one long, two long, start int")
+    return texts.mapInArrow(tidy(found), "doc_id long, tie long, one long, two long, start int")
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -197,7 +197,7 @@ def without_repeats(docs: DataFrame, places: DataFrame, window: int = WINDOW) ->
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     joined = _documents(docs).join(places, ["doc_id", "tie"], "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(tidy(cut), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

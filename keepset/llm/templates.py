@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepset.llm.tokens import slices
-from keepset.runtime import Scratch, ship
+from keepset.runtime import Scratch, ship, tidy
 
 WINDOW, SHORTEST, LITERALS, BITMAP_BITS = 13, 6, 6, 24
 #: Words that are units when they follow a number.
@@ -124,7 +124,7 @@ def _found(rows: DataFrame, key: str, of) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), part.column(key).take(at), part.column("tie").take(at), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string()))], ["hash", "size", key, "tie", "place", "slots"])
 
     chosen = rows.select(F.col(key).cast("long").alias(key), F.xxhash64("text").alias("tie"), "text")
-    return chosen.mapInArrow(found, f"hash long, size int, {key} long, tie long, place int, slots array<string>")
+    return chosen.mapInArrow(tidy(found), f"hash long, size int, {key} long, tie long, place int, slots array<string>")
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

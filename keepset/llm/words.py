@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words remembered by one Python worker at most; beyond it the memory starts anew.
-MEMO = 400_000
+MEMO = 200_000
 _WHITE, _FOLLOWING, _SYMBOLS = b" \t\n\x0b\x0c\r", bytes(range(0x80, 0xC0)), b"#*$%&|<>"
 
 
