@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepset.operators import ladder
 from keepset.operators.rules import SETTLED
 
 KEEP, REDUNDANT = "KEEP", "REDUNDANT"
 
 
-def manifest(ranked: DataFrame, group: str, member: str) -> DataFrame:
+def manifest(ranked: DataFrame, group: str) -> DataFrame:
     """Ranked records with verdict and group_size; groups of one are left out."""
     size = F.count(F.lit(1)).over(Window.partitionBy(group))
     verdict = F.when(F.col("rank") == 1, KEEP).otherwise(REDUNDANT)
     return ranked.withColumn("group_size", size).where("group_size >= 2").withColumn("verdict", verdict)
 
 
+def marked(records: DataFrame, group: str, rungs: tuple[str, ...]) -> DataFrame:
+    """As manifest(), without ranks below the first: keepers come from partial maxima, so a group of any size is neither sorted nor
+    brought to one task. The rungs must tell a group's records apart."""
+    best = ladder.keepers(records, group, rungs).where("group_size >= 2")
+    verdict = F.when(F.struct(*rungs) == F.col("keeper"), KEEP).otherwise(REDUNDANT)
+    return records.join(best, group).withColumn("verdict", verdict).drop("keeper")
+
+
 def apply_plan(plan: DataFrame, settled_only: bool = True, reasons: tuple[str, ...] = SETTLED) -> DataFrame:
     """Redundant rows with kept_instead, their group's keeper. plan: file, verdict, group, why.
 

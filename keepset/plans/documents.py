@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepset.functions import scalars as S
@@ -125,7 +125,7 @@ def records(spark, d) -> DataFrame:
 
 @query("keeper_ladder", f"select doc_id, family, rank from ({_RANKED}) where group_size >= 2")
 def keeper_ladder(spark, d):
-    placed = journal.manifest(ladder.ranked(records(spark, d), "family", tuple(_RUNGS)), "family", "doc_id")
+    placed = journal.manifest(ladder.ranked(records(spark, d), "family", tuple(_RUNGS)), "family")
     return placed.select("doc_id", "family", F.col("rank").cast(LONG).alias("rank"))
 
 
@@ -157,7 +157,7 @@ select doc_id, family, probed, rank from r where group_size >= 2
 """)
 def keeper_lazy_rung(spark, d):
     probe = lambda tied: tied.withColumn("again", F.col("n_chars") % 3 == 0)
-    placed = journal.manifest(ladder.lazily_ranked(records(spark, d), "family", probe), "family", "doc_id")
+    placed = journal.manifest(ladder.lazily_ranked(records(spark, d), "family", probe), "family")
     return placed.select("doc_id", "family", "probed", F.col("rank").cast(LONG).alias("rank"))
 
 
@@ -169,10 +169,9 @@ select doc_id, grp as "group", group_size, case when rank = 1 then 'KEEP' else '
 
 
 def plan(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("group"), _long(F.octet_length("text"), "bytes"), "source")
-    order = Window.partitionBy("group").orderBy((F.col("source") == "src0").desc(), "doc_id")
-    placed = journal.manifest(docs.withColumn("rank", F.row_number().over(order)), "group", "doc_id")
-    return placed.select("doc_id", "group", "group_size", "verdict", F.when(F.col("rank") == 1, "").otherwise("duplicate").alias("why"), "bytes")
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("group"), _long(F.octet_length("text"), "bytes"), (F.col("source") == "src0").alias("raw"), (-F.col("doc_id")).alias("first"))
+    found = journal.marked(docs, "group", ("raw", "first"))
+    return found.select("doc_id", "group", "group_size", "verdict", F.when(F.col("verdict") == journal.KEEP, "").otherwise("duplicate").alias("why"), "bytes")
 
 
 @query("manifest", _MANIFEST)

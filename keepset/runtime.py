@@ -67,7 +67,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session may go without the setting; it then gets a temporary folder.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark.sparkContext, "_keepset_folder", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_keepset_folder", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local["):
