@@ -178,3 +178,19 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: in
 def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return document_lines(docs, line_classes(docs, Scratch(spark, "op7")))
+
+
+_COUNTS = ", ".join(f"length(line) - length(replace(line, '{c}', '')) as n_{c}" for c in LETTERS)
+_APART = " + ".join(f"abs(a.n_{c} - b.n_{c})" for c in LETTERS)
+#: The same rows from DuckDB: lines of like length and letters, each pair measured.
+ORACLE = f"""
+with l as (select distinct doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+u as materialized (select line, min(doc_id) as first, length(line) as n, {_COUNTS} from l group by line),
+p as materialized (select a.line as x, b.line as y, a.first as x_first, b.first as y_first from u a cross join (select unnest(range({EDITS + 1})) as more) join u b on b.n = a.n + more
+  where a.n >= {LEAST} and (more > 0 or a.line < b.line) and {_APART} <= {2 * EDITS} and levenshtein(a.line, b.line) <= {EDITS}),
+e as (select line, count(*) as n_links, min(other) as near from (select x as line, y_first as other from p union all select y, x_first from p) group by 1),
+j as (select l.doc_id, coalesce(n_links, 0) as n_links, least(u.first, coalesce(near, u.first)) as first from l join u on u.line = l.line left join e on e.line = l.line),
+g as (select doc_id, count(*) as n_lines, count(*) filter (where first < doc_id) as n_removed, sum(n_links)::bigint as n_links, min(least(first, doc_id)) as class_id from j group by 1)
+select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_links, 0)::bigint as n_links, coalesce(class_id, d.doc_id) as class_id
+from (select distinct doc_id from documents) d left join g on g.doc_id = d.doc_id
+"""

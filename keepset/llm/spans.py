@@ -204,3 +204,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = without_repeats(docs, repeated_windows(docs, Scratch(spark, "op10")))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same rows from DuckDB, window by window.
+ORACLE = f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+v as (select doc_id, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')))) as h, unnest(range(1, len(w) - {WINDOW - 2})) as i from d where len(w) >= {WINDOW}),
+f as (select h, min(doc_id) as first from v group by 1),
+hit as (select v.doc_id, v.i from v join f on f.h = v.h where first < v.doc_id),
+x as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+m as (select x.doc_id, x.i, word, max((hit.i is not null)::int) over (partition by x.doc_id order by x.i rows between {WINDOW - 1} preceding and current row) as gone from x left join hit on hit.doc_id = x.doc_id and hit.i = x.i),
+k as (select doc_id, count(*) filter (where gone = 1) as n_removed, string_agg(word, ' ' order by i) filter (where gone = 0) as kept from m group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k on k.doc_id = d.doc_id
+"""
