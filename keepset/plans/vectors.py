@@ -104,7 +104,7 @@ def block_residual(spark, d):
 #: Limits that part these pairs, and what the steps read.
 BLOCK, RATIO = 0.12, 3.0
 _JUDGED = f"""{_RES}, j as (select *, case when a % 50 = 0 then 'camera pair' when block > 0.16 and not (abs(a - b) % 7 <= 2 and a % 3 = 0) then 'rejected on the sketch'
-when distance >= 22 then 'screened out on keypoints' when (a + b) % 11 = 0 then 'different' when (a + b) % 13 = 0 then 'unverifiable, kept apart'
+when distance >= 22 and not (block > 0.16 and a % 3 = 0) then 'screened out on keypoints' when (a + b) % 11 = 0 then 'different' when (a + b) % 13 = 0 then 'unverifiable, kept apart'
 when block <= {BLOCK} and ratio <= {RATIO} then case when (a * b) % 5 = 0 then 'refused by the closer look' else 'within limits' end else 'over the limits' end as outcome from r)"""
 
 
@@ -117,10 +117,7 @@ def judged(spark, d) -> DataFrame:
     total = F.col("a") + F.col("b")
     verdict = lambda p: p.withColumns({"scene": F.when(total % 11 == 0, "different").when(total % 13 == 0, "unknown").otherwise("same"), "block": F.col("sketch_block"), "ratio": F.col("own_ratio")})
     closer = lambda p: p.withColumn("closer", F.when(F.col("a") * F.col("b") % 5 == 0, "different").otherwise("same"))
-    return cascade.staged(pairs, screen, verdict, closer, cascade.Limits(BLOCK, RATIO, sketch_block=0.16))
-
-
-_JUDGED = _JUDGED.replace("when distance >= 22 then 'screened out on keypoints'", "when distance >= 22 and not (block > 0.16 and a % 3 = 0) then 'screened out on keypoints'")
+    return cascade.staged(pairs, screen, verdict, closer, cascade.Limits(BLOCK, RATIO, sketch_block=0.16), hold=Scratch(spark, "cascade").table)
 
 
 @query("cascade_outcomes", f"{_JUDGED} select outcome, count(*) as pairs, sum(count(*)) over ()::bigint as attempted from j group by 1")
