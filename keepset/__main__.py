@@ -6,12 +6,17 @@
     --apply           move what the newest plan without a log calls redundant and proven, and write a log
     --undo JOB        put a job's files back
     --reset           undo every job
-    --dashboard       totals of all jobs
+    --dashboard       totals of all jobs; --html FILE writes them as a page
+    --exclude NAME    leave folders of that name out; may be given again
+    --window SECONDS  how far apart two captures may be to be compared
+    --audit PAIRS     what became of the pairs in a CSV of file_a, file_b; goes to the job's fates
+    --queue           FOLDER holds tickets, each naming folders to analyse
 """
 
 from __future__ import annotations
 
 import argparse
+import html
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
@@ -22,6 +27,7 @@ from keepset.functions import scalars as S
 from keepset.operators import cascade, journal
 from keepset.plans import library
 from keepset.sources import files, records
+from keepset.streaming import sessions
 
 WORKING = "_keepset"
 
@@ -34,16 +40,20 @@ def jobs(spark: SparkSession, folder: str) -> dict[str, set[str]]:
     return {p.rpartition("/")[2]: {q.rpartition("/")[2] for q, _ in store.children(p)} for p, is_folder in store.children(root) if is_folder}
 
 
-def analyse(spark: SparkSession, folder: str, listed: str | None = None, block: float | None = None, ratio: float | None = None) -> str:
+def analyse(spark: SparkSession, folder: str, listed: str | None = None, block: float | None = None, ratio: float | None = None, exclude: tuple[str, ...] = (), window: float = S.WINDOW, audit: str | None = None) -> str:
     """Write a plan; returns the job's name."""
-    found = files.scan(spark, folder, exclude=(WORKING,), content=True)
+    found = files.scan(spark, folder, exclude=(WORKING, *exclude), content=True)
     if listed:
         found, lost = files.listed(spark, listed, found)
         print(f"{lost.count()} listed files are not there")
     limits = cascade.Limits(cascade.BLOCK if block is None else block / 100, cascade.RATIO if ratio is None else ratio)
     taken, stamp = jobs(spark, folder), datetime.now(timezone.utc).strftime("%Y-%m-%d")
     job = next(name for k in range(1, len(taken) + 2) if (name := f"{stamp} {k:03d}") not in taken)
-    records.write(library.manifest(spark, found, limits), f"{folder}/{WORKING}/{job}/plan", "plan")
+    where = f"{folder}/{WORKING}/{job}"
+    plan, fates = library.manifest(spark, found, limits, window=window)
+    records.write(plan, f"{where}/plan", "plan")
+    if audit:
+        records.write(library.audited(records.read(spark, audit, "audit"), fates, records.read(spark, f"{where}/plan", "plan")), f"{where}/fates", "fates")
     return job
 
 
@@ -90,6 +100,13 @@ def dashboard(spark: SparkSession, folder: str) -> list[tuple]:
     return [tuple(r)[:4] for r in rows.collect()]
 
 
+def page(rows: list[tuple]) -> str:
+    """The dashboard as HTML; a bar shows each job's share of the files."""
+    total = max((r[1] for r in rows), default=0) or 1
+    cells = "".join(f"<tr><td>{html.escape(str(job))}</td><td>{n}</td><td>{beside}</td><td>{html.escape(str(size))}</td><td><div style='background:#888;height:1em;width:{200 * n // total}px'></div></td></tr>" for job, n, beside, size in rows)
+    return f"<!doctype html><meta charset='utf-8'><title>keepset</title><table><tr><th>job</th><th>files</th><th>sidecars</th><th>size</th><th></th></tr>{cells}</table>"
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(prog="keepset", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("folder")
@@ -100,6 +117,11 @@ def main() -> None:
     parser.add_argument("--undo", metavar="JOB")
     parser.add_argument("--reset", action="store_true")
     parser.add_argument("--dashboard", action="store_true")
+    parser.add_argument("--html", metavar="FILE")
+    parser.add_argument("--exclude", action="append", default=[])
+    parser.add_argument("--window", type=float, default=S.WINDOW)
+    parser.add_argument("--audit", metavar="PAIRS")
+    parser.add_argument("--queue", action="store_true")
     args = parser.parse_args()
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.undo:
@@ -109,12 +131,18 @@ def main() -> None:
             if "log" in own:
                 print(job, undo(spark, args.folder, job))
     elif args.dashboard:
-        for row in dashboard(spark, args.folder):
+        rows = dashboard(spark, args.folder)
+        for row in rows:
             print(*row, sep="\t")
+        if args.html:
+            with open(args.html, "w", encoding="utf-8") as out:
+                out.write(page(rows))
     elif args.apply:
         print(apply(spark, args.folder) or "no open plan")
+    elif args.queue:
+        sessions.drain(spark, args.folder, f"{args.folder}/{WORKING}/queue", lambda folder: print(folder, analyse(spark, folder)))
     else:
-        print(analyse(spark, args.folder, args.files, args.block, args.ratio))
+        print(analyse(spark, args.folder, args.files, args.block, args.ratio, tuple(args.exclude), args.window, args.audit))
 
 
 if __name__ == "__main__":

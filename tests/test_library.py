@@ -22,7 +22,10 @@ def folder(spark, tmp_path):
 
 
 def test_from_scan_to_undo(spark, folder):
-    job = cli.analyse(spark, str(folder))
+    (folder / "pairs.csv").write_text(f"file_a,file_b\nfile:{folder}/a.jpg,file:{folder}/c.jpg\nfile:{folder}/b.jpg,file:{folder}/a.jpg\n")
+    job = cli.analyse(spark, str(folder), audit=str(folder / "pairs.csv"))
+    fates = records.read(spark, f"{folder}/_keepset/{job}/fates", "fates").collect()
+    assert {r["file_b"].rpartition("/")[2]: (r["stage"], r["detail"]) for r in fates} == {"c.jpg": ("unverifiable, kept apart", "culled"), "b.jpg": ("unverifiable, kept apart", "culled")}
     plan = records.read(spark, f"{folder}/_keepset/{job}/plan", "plan").collect()
     assert sorted((r["file"].rpartition("/")[2], r["verdict"], r["why"]) for r in plan) == [("a.jpg", "REDUNDANT", "duplicate"), ("b.jpg", "KEEP", None)]
     assert [r["why_inferior"] for r in plan if r["verdict"] == "REDUNDANT"] == ["the same by every measure"]
@@ -30,6 +33,7 @@ def test_from_scan_to_undo(spark, folder):
     assert not (folder / "a.jpg").exists() and not (folder / "a.xmp").exists() and (folder / "b.jpg").exists()
     totals = cli.dashboard(spark, str(folder))
     assert [t[:3] for t in totals if t[0] == "all"] == [("all", 1, 1)]
+    assert "<td>all</td><td>1</td><td>1</td>" in cli.page(totals)
     assert cli.undo(spark, str(folder), job) == {"restored": 2}
     assert (folder / "a.jpg").exists() and (folder / "a.xmp").exists()
     assert cli.jobs(spark, str(folder))[job] >= {"plan"}
