@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from keepset.llm.tokens import encoder, slices, vocabulary
 from keepset.runtime import Scratch, ship, tidy
 
-BLOCK, PERCENTILE, SEGMENT = 256, 90, 1 << 18
+BLOCK, PERCENTILE, SEGMENT = 1024, 90, 1 << 18
 MAGIC, HEAD, BLOCK_HEAD = b"KPF1", struct.Struct("<4sIHI"), struct.Struct("<IBH")
 SEGMENTS = "shard int, segment int, shard_start long, n_ids long, doc_ids array<long>, lengths array<int>, payload binary"
 

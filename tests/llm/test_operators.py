@@ -90,7 +90,7 @@ def test_shards_hold_every_id(spark, real):
         start += len(ids)
 
 
-@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
+@pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 5000])
 @pytest.mark.parametrize("high", [1, 2, 300, 50_000, 1 << 32])
 def test_blocks_round_trip(n, high):
     rng = np.random.default_rng(n + high)
@@ -103,7 +103,7 @@ def test_blocks_round_trip(n, high):
 
 
 def test_outliers_become_exceptions():
-    ids = np.full(256, 7, dtype=np.uint32)
+    ids = np.full(shards.BLOCK, 7, dtype=np.uint32)
     ids[9] = 1_000_000
     assert len(shards.pack(ids)) < 60 and (shards.unpack(shards.pack(ids)) == ids).all()
 
