@@ -122,7 +122,7 @@ def write_segments(docs: DataFrame, path: str, vocabulary_path: str, end: int, b
             return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip((shard, number, start, held, ids, lengths, payload), kinds)], names)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 2048, 4_000_000):
                 for doc, text_ids in zip(part.column("doc_id").to_pylist(), library.encode(part.column("text").to_pylist(), end)):
                     ids.append(doc)
                     parts.append(text_ids)
