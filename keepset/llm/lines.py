@@ -30,13 +30,13 @@ EDITS, LEAST = 2, 24
 LETTERS = "etanorih"
 #: Pairs whose numbers may be broadcast: 16 bytes each.
 FEW = 1_000_000
-_WORD = "[^\\x20\\x09-\\x0D]"
+_WHITE = " \t\n\x0b\x0c\r"
 
 
 def _marked(text: Column) -> Column:
     """The lines in order, each different one once. Lines without a word are told apart by a line feed and their number."""
     lines = F.split(text, "\n")
-    return F.array_distinct(F.transform(lines, lambda x, i: F.when(x.rlike(_WORD), x).otherwise(F.concat(x, F.lit("\n"), i.cast("string")))))
+    return F.array_distinct(F.transform(lines, lambda x, i: F.when(F.ltrim(x, F.lit(_WHITE)) != "", x).otherwise(F.concat(x, F.lit("\n"), i.cast("string")))))
 
 
 def _has_word(line: Column) -> Column:
