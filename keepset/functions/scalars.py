@@ -20,7 +20,7 @@ EDITORS = (
 )
 #: Marks of the frames that a camera writes in pairs (merged and spare, blurred and its source).
 MERGED, SPARE, BLURRED, SOURCE = 3, 4, 8, 9
-#: A capture time in a file name: year, month, day, hour, minute, second and perhaps a fraction.
+#: Fixed value: a capture time in a file name, year, month, day, hour, minute, second and perhaps a fraction.
 NAME_TIME = r"(\d{4})[.\-_](\d{2})[.\-_](\d{2})\D+(\d{2})[.\-_](\d{2})[.\-_](\d{2})(?:[.\-_](\d{1,3}))?"
 
 
