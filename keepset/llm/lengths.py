@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keepset.llm.tokens import encoder, slices, vocabulary
-from keepset.runtime import ship, tidy
+from keepset.runtime import Scratch, ship, tidy
 
 #: Lengths of one range are summed in one task; the ranges' own sums are few.
 RANGE = 64
@@ -40,6 +40,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """For each length that occurs, taken as a context limit: documents and tokens of at least that length, documents cut by the
     limit, tokens that are left under it, and the shares of documents and tokens that stay whole.
 
+    The histogram is read several times, so it should be a written table.
     Between two lengths the tokens left grow by docs_at_least of the next length for each step of the limit.
     """
     n, tokens = F.col("n_docs"), F.col("n_docs") * F.col("n_tokens")
@@ -94,4 +95,5 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json")))
+    histogram = length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"))
+    return suffix_sums(Scratch(spark, "op8").table(histogram, "histogram"))
