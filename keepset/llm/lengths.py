@@ -38,7 +38,7 @@ def length_histogram(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
     """For each length that occurs, taken as a context limit: documents and tokens of at least that length, documents cut by the
-    limit, tokens that are left under it, and the shares of documents and tokens that stay whole.
+    limit, tokens that are left under it, and the share of documents that stay whole.
 
     The histogram is read several times, so it should be a written table.
     Between two lengths the tokens left grow by docs_at_least of the next length for each step of the limit.
