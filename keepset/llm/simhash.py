@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepset.llm import neardup
 from keepset.llm.graphs import components
 from keepset.llm.tokens import slices
 from keepset.llm.words import texts_of
@@ -191,7 +192,10 @@ def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, scratch: Scratch, limit: int = BITS_APART) -> DataFrame:
-    """The documents without those that have another of their component before them: the one with the smallest doc_id stays."""
-    found = near_duplicates(docs, scratch, limit).select(F.col("doc_id").alias("own_id"), "component_id").where(F.col("own_id") != F.col("component_id")).distinct()
+def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents without those that have a near-duplicate before them: of each component the one with the smallest doc_id stays.
+
+    Near-duplicates are those of neardup (five words, similarity 4/5); shingles and bits of this module are the query's only.
+    """
+    found = neardup.near_duplicates(docs, scratch).select(F.col("doc_id").alias("own_id"), "component_id").where(F.col("own_id") != F.col("component_id")).distinct()
     return docs.join(found, docs["doc_id"] == found["own_id"], "left_anti")
