@@ -1,22 +1,28 @@
 """Benchmark decontamination by template canonicalisation (operator 3).
 
 Words are lower-cased and stripped of marks around them; what is left of a text are its tokens. Numbers, units after a number and
-names (a capital letter inside a sentence) become typed placeholders; their values are the slots. A window of WINDOW tokens is
-known by a hash of its template, in which the first token stands literally, as what is before it may differ. Items of fewer tokens
-are one window; those under SHORTEST tokens are left out, as they can't be told from chance.
+names become typed placeholders; their values are the slots. A window of WINDOW tokens is known by hashes of three forms:
+
+- STRICT: names are words with a capital inside a sentence; the first token stands literally, as what is before it may differ.
+- VERBATIM: the tokens themselves, values included, whatever their case and marks. Items of any length and windows of few literal
+  tokens are found by it.
+- LOOSE: names are words with a capital anywhere, and the first token is a placeholder too if it is a name or a number.
+
+Items of fewer tokens are one window. Templates need LITERALS literal tokens, and SHORTEST tokens in all.
 
 1. The items' windows are a small table. A bitmap of fixed size (BITMAP_BITS) of their hashes goes to every worker.
 2. Documents are read once; only windows whose bit is set go on, with their slots. These are hash-joined with the items' windows.
-3. Slot consistency: within a window equal slots must stand for equal ones, both ways; then, over all windows of one alignment of a
-   document with an item, each value of the item must stand for one value of the document and the other way round.
+3. Slot consistency: within a window equal slots must stand for equal ones, both ways; then, over a run of windows of one alignment of
+   a document with an item, each value of the item must stand for one value of the document and the other way round. The longest
+   such run counts, and verbatim windows count in any case. matches() takes whole alignments only, and templates only, unless told.
 
-A re-parameterised question so matches its template, while texts that share a pattern but mix its slots do not. Null texts and items
-count as empty. Rows with a null id are compared; repeated rows and equal ids are one document in the result. Empty tables give an
-empty result. Only doc_id, text, item_id and text are read.
+A re-parameterised question so matches its template. Null texts and items count as empty. Rows with a null id are compared; repeated
+rows and equal ids are one document in the result. Empty tables give an empty result. Only doc_id, text, item_id and text are read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +40,7 @@ UNITS = frozenset(
     "meter meters metre metres inch inches foot feet gram grams".split()
 )
 LITERAL, NUMBER, UNIT, CAPITAL = range(4)
+STRICT, VERBATIM, LOOSE = range(3)
 _EDGES = r"^[^\pL\pM\pN]+|[^\pL\pM\pN%°]+$"
 _NUMBER = r"^[0-9][0-9.,:/]*[a-z%°]{0,3}$"
 _CAPITAL = r"^\p{Lu}.*\p{Ll}"
@@ -78,26 +85,34 @@ class Templates:
         first[1:] = ends[:-1] | ~same
         after_number[1:] = (kind[:-1] == NUMBER) & same
         self.hole = np.where((kind == CAPITAL) & first | (kind == UNIT) & ~after_number, LITERAL, kind)
+        loose = np.where((kind == UNIT) & ~after_number, LITERAL, kind)
+        self.holes = {STRICT: self.hole, VERBATIM: np.zeros_like(kind), LOOSE: loose}
         up, self.down = _powers(n + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(self.hole > 0, _HOLES[self.hole], self.literal) * up[:n])])
-        self.literals = np.concatenate([[0], np.cumsum(self.hole == 0)])
+        self.sums, self.literals = {}, {}
+        for form, hole in self.holes.items():
+            self.sums[form] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(hole > 0, _HOLES[hole], self.literal) * up[:n])])
+            self.literals[form] = np.concatenate([[0], np.cumsum(hole == 0)])
+        self.firsts = {STRICT: self.literal, VERBATIM: self.literal, LOOSE: np.where((loose == NUMBER) | (loose == CAPITAL), _HOLES[loose], self.literal)}
         self.sizes = np.bincount(self.doc, minlength=len(texts))
         self.start = np.cumsum(self.sizes) - self.sizes
 
-    def windows(self, size: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places (over all texts) and hashes of the windows that have enough literal tokens; only: of these texts."""
+    def windows(self, size: int, only: np.ndarray | None = None, form: int = STRICT) -> tuple[np.ndarray, np.ndarray]:
+        """Places (over all texts) and hashes of the windows, of templates those that have enough literal tokens; only: of these texts."""
         n = len(self.code) - size + 1
         if n <= 0 or size < 1:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        fits = (self.doc[size - 1 :] == self.doc[:n]) & (self.literals[size:] - self.literals[1 : n + 1] + 1 >= min(LITERALS, size - 1))
+        fits, literals = self.doc[size - 1 :] == self.doc[:n], self.literals[form]
+        fits &= literals[size:] - literals[1 : n + 1] + 1 >= min(LITERALS, size - 1)
         at = np.flatnonzero(fits if only is None else fits & only[self.doc[:n]])
-        x = (self.sums[at + size] - self.sums[at + 1]) * self.down[at] + self.literal[at] * np.uint64(size)
+        x = (self.sums[form][at + size] - self.sums[form][at + 1]) * self.down[at] + self.firsts[form][at] * np.uint64(size)
         x = (x ^ (x >> np.uint64(32))) * _MIX
         return at, x ^ (x >> np.uint64(29))
 
-    def slots(self, at: int, size: int) -> list[str]:
+    def slots(self, at: int, size: int, form: int = STRICT) -> list[str]:
         """Kind and value of the placeholders of a window."""
-        return [f"{self.hole[k]}:{self.names[self.code[k]]}" for k in range(at + 1, at + size) if self.hole[k]]
+        hole = self.holes[form]
+        first = at if form == LOOSE and hole[at] in (NUMBER, CAPITAL) else at + 1
+        return [f"{hole[k]}:{self.names[self.code[k]]}" for k in range(first, at + size) if hole[k]]
 
 
 def _flags(x) -> np.ndarray:
@@ -105,7 +120,7 @@ def _flags(x) -> np.ndarray:
 
 
 def _found(rows: DataFrame, key: str, of) -> DataFrame:
-    """hash, size, key, tie, place and slots of windows; of()(templates) gives (size, places, hashes)."""
+    """hash, size, form, key, tie, place and slots of windows; of()(templates) gives (size, form, places, hashes)."""
     ship(rows.sparkSession)
 
     def found(batches: Iterator) -> Iterator:
@@ -115,23 +130,23 @@ def _found(rows: DataFrame, key: str, of) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 templates, out = Templates(part.column("text")), []
-                for size, places, hashes in choose(templates):
+                for size, form, places, hashes in choose(templates):
                     docs = templates.doc[places]
-                    out += zip(hashes.view(np.int64).tolist(), [size] * len(places), docs.tolist(), (places - templates.start[docs]).tolist(), [templates.slots(x, size) for x in places.tolist()])
+                    out += zip(hashes.view(np.int64).tolist(), [size] * len(places), [form] * len(places), docs.tolist(), (places - templates.start[docs]).tolist(), [templates.slots(x, size, form) for x in places.tolist()])
                 if out:
-                    hashes, sizes, at, places, slots = zip(*out)
+                    hashes, sizes, forms, at, places, slots = zip(*out)
                     at = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), part.column(key).take(at), part.column("tie").take(at), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string()))], ["hash", "size", key, "tie", "place", "slots"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(forms, pa.int32()), part.column(key).take(at), part.column("tie").take(at), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string()))], ["hash", "size", "form", key, "tie", "place", "slots"])
 
     chosen = rows.select(F.col(key).cast("long").alias(key), F.xxhash64("text").alias("tie"), "text")
-    return chosen.mapInArrow(tidy(found), f"hash long, size int, {key} long, tie long, place int, slots array<string>")
+    return chosen.mapInArrow(tidy(found), f"hash long, size int, form int, {key} long, tie long, place int, slots array<string>")
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     def of():
         def choose(templates):
             sizes = np.minimum(templates.sizes, window)
-            return [(int(x), *templates.windows(int(x), sizes == x)) for x in np.unique(sizes) if x >= SHORTEST]
+            return [(int(x), form, *templates.windows(int(x), sizes == x, form)) for x in np.unique(sizes) for form in (STRICT, VERBATIM) if x >= SHORTEST]
 
         return choose
 
@@ -156,12 +171,51 @@ def _same_pattern(x, y):
     return (first(x) == first(y)) & (kinds(x) == kinds(y))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, bits: int = BITMAP_BITS) -> DataFrame:
+def _counted(windows, whole: bool) -> tuple[int, int]:
+    """Windows of one alignment that count, and changed slot values among them; windows: (form, place, item_slots, slots)."""
+    places, changed = {x.place for x in windows if x.form == VERBATIM and not whole}, set()
+    for form in (STRICT, LOOSE):
+        own = sorted((x for x in windows if x.form == form), key=lambda x: x.place)
+        best, start, links = range(0), 0, _Links()
+        values = [set(zip(x.item_slots, x.slots)) for x in own]
+        for stop in range(1, len(own) + 1):
+            links.add(values[stop - 1], 1)
+            while links.clashes:
+                links.add(values[start], -1)
+                start += 1
+            best = range(start, stop) if stop - start > len(best) else best
+        if not whole or len(best) == len(own):
+            places |= {own[k].place for k in best}
+            changed |= {x for k in best for x in values[k] if x[0] != x[1]}
+    return len(places), len({(a[2:], b[2:]) for a, b in changed})
+
+
+class _Links:
+    """Pairs of values in a run of windows, and how many values have more than one partner."""
+
+    def __init__(self):
+        self.held, self.partners, self.clashes = Counter(), Counter(), 0
+
+    def add(self, pairs: set, sign: int) -> None:
+        for pair in pairs:
+            before = self.held[pair] > 0
+            self.held[pair] += sign
+            if before != (self.held[pair] > 0):
+                for end in enumerate(pair):
+                    was = self.partners[end] > 1
+                    self.partners[end] += sign
+                    self.clashes += (self.partners[end] > 1) - was
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, bits: int = BITMAP_BITS, whole: bool = True) -> DataFrame:
     """doc_id, tie, item_id, n_windows, n_changed: windows of the item that the document has at one alignment, the most over all
-    alignments, and how many of the slot values differ there."""
+    alignments, and how many of the slot values differ there. whole: templates that are consistent over their whole alignment only;
+    else the longest consistent run of each form and all verbatim windows."""
     spark = docs.sparkSession
     items = scratch.table(item_windows(benchmark, window), "items")
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # window and shorter: a few
+    if whole:
+        items = items.where(F.col("form") != VERBATIM)
+    sizes = sorted(tuple(r) for r in items.select("size", "form").distinct().collect())  # window and shorter: a few
     shared = spark.sparkContext.broadcast((bitmap(items, bits), sizes))  # 2**bits bits
 
     def of():
@@ -169,31 +223,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int
         shift = np.uint64(64 - bits)
 
         def choose(templates):
-            for size in sizes:
-                starts, hashes = templates.windows(size)
+            for size, form in sizes:
+                starts, hashes = templates.windows(size, form=form)
                 slot = (hashes >> shift).astype(np.int64)
                 known = (held[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
                 if known.any():
-                    yield size, starts[known], hashes[known]
+                    yield size, form, starts[known], hashes[known]
 
         return choose
 
     found = _found(docs, "doc_id", of)
-    items = items.select("hash", "size", "item_id", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    met = found.join(items, ["hash", "size"]).where(_same_pattern(F.col("slots"), F.col("item_slots")))
-    pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x.item_slots.alias("item"), x.slots.alias("doc")))
-    aligned = met.groupBy("doc_id", "tie", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.countDistinct("item_place").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("values"))
-    one_to_one = (F.size(F.array_distinct(F.col("values.item"))) == F.size("values")) & (F.size(F.array_distinct(F.col("values.doc"))) == F.size("values"))
-    changed = F.size(F.filter("values", lambda x: x.item != x.doc)).cast("long")
-    return aligned.where(one_to_one).groupBy("doc_id", "tie", "item_id").agg(F.max("n_windows").alias("n_windows"), F.min_by(changed, F.struct(-F.col("n_windows"), changed)).alias("n_changed"))
+    items = items.select("hash", "size", "form", "item_id", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    met = found.join(items, ["hash", "size", "form"]).where(_same_pattern(F.col("slots"), F.col("item_slots")))
+    windows = F.collect_set(F.struct("form", F.col("item_place").alias("place"), "item_slots", "slots")).alias("windows")
+    aligned = met.groupBy("doc_id", "tie", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(windows)
+    counted = F.udf(lambda x: _counted(x, whole), "n_windows long, n_changed long")
+    aligned = aligned.withColumn("counted", counted("windows")).select("doc_id", "tie", "item_id", "counted.*").where("n_windows > 0")
+    return aligned.groupBy("doc_id", "tie", "item_id").agg(F.max("n_windows").alias("n_windows"), F.min_by("n_changed", F.struct(-F.col("n_windows"), "n_changed")).alias("n_changed"))
 
 
 def op3_template_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return matches(docs, benchmark, Scratch(spark, "op3")).groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.min_by("n_changed", F.struct(-F.col("n_windows"), "n_changed")).alias("n_changed"))
+    return matches(docs, benchmark, Scratch(spark, "op3"), whole=False).groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.min_by("n_changed", F.struct(-F.col("n_windows"), "n_changed")).alias("n_changed"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents that match no item, with their own columns."""
-    found = scratch.table(matches(docs, benchmark, scratch).select(F.col("doc_id").alias("found_id"), F.col("tie").alias("found_tie")).distinct(), "found")
+    found = scratch.table(matches(docs, benchmark, scratch, whole=False).select(F.col("doc_id").alias("found_id"), F.col("tie").alias("found_tie")).distinct(), "found")
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["found_id"]) & (F.xxhash64(docs["text"]) == found["found_tie"]), "left_anti")
