@@ -146,7 +146,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     def of():
         def choose(templates):
             sizes = np.minimum(templates.sizes, window)
-            return [(int(x), form, *templates.windows(int(x), sizes == x, form)) for x in np.unique(sizes) for form in (STRICT, VERBATIM) if x >= SHORTEST]
+            return [(int(x), form, *templates.windows(int(x), sizes == x, form)) for x in np.unique(sizes) for form in (STRICT, VERBATIM, LOOSE) if x >= SHORTEST]
 
         return choose
 

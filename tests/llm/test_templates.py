@@ -5,6 +5,7 @@ import pytest
 from keepset.llm import templates
 from tests.llm.test_operators import ITEM
 
+APPLES = "Tom has 5 apples. He gives Anna 3 pears and keeps the rest of them."
 
 
 @pytest.mark.parametrize(
@@ -12,6 +13,9 @@ from tests.llm.test_operators import ITEM
     [
         (ITEM, ITEM.replace("14 kg", "25 kg")),  # thirteen tokens stand word for word
         (ITEM, ITEM.replace("3 dollars", "4 dollars").replace("14 more", "4 more")),
+        (APPLES, APPLES.replace("Tom", "Maria").replace("5", "7")),  # a name that starts the only windows
+        (APPLES, APPLES.lower()),
+        (APPLES, APPLES.replace(".", "")),
     ],
 )
 def test_copies_are_found(spark, scratch, item, text):
