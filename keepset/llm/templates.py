@@ -102,7 +102,8 @@ class Templates:
         if n <= 0 or size < 1:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         fits, literals = self.doc[size - 1 :] == self.doc[:n], self.literals[form]
-        fits &= literals[size:] - literals[1 : n + 1] + 1 >= min(LITERALS, size - 1)
+        if form != VERBATIM:
+            fits &= literals[size:] - literals[1 : n + 1] + 1 >= min(LITERALS, size - 1)
         at = np.flatnonzero(fits if only is None else fits & only[self.doc[:n]])
         x = (self.sums[form][at + size] - self.sums[form][at + 1]) * self.down[at] + self.firsts[form][at] * np.uint64(size)
         x = (x ^ (x >> np.uint64(32))) * _MIX
@@ -146,7 +147,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     def of():
         def choose(templates):
             sizes = np.minimum(templates.sizes, window)
-            return [(int(x), form, *templates.windows(int(x), sizes == x, form)) for x in np.unique(sizes) for form in (STRICT, VERBATIM, LOOSE) if x >= SHORTEST]
+            return [(int(x), form, *templates.windows(int(x), sizes == x, form)) for x in np.unique(sizes) for form in (STRICT, VERBATIM, LOOSE) if x >= (1 if form == VERBATIM else SHORTEST)]
 
         return choose
 

@@ -6,6 +6,7 @@ from keepset.llm import templates
 from tests.llm.test_operators import ITEM
 
 APPLES = "Tom has 5 apples. He gives Anna 3 pears and keeps the rest of them."
+SUGAR = "Add 5 kg, 7 kg and 9 kg of sugar"
 
 
 @pytest.mark.parametrize(
@@ -16,6 +17,8 @@ APPLES = "Tom has 5 apples. He gives Anna 3 pears and keeps the rest of them."
         (APPLES, APPLES.replace("Tom", "Maria").replace("5", "7")),  # a name that starts the only windows
         (APPLES, APPLES.lower()),
         (APPLES, APPLES.replace(".", "")),
+        (SUGAR, f"First this: {SUGAR}, then stir."),
+        ("one two three", "he said one two three four"),
     ],
 )
 def test_copies_are_found(spark, scratch, item, text):
