@@ -62,6 +62,21 @@ def ship(spark: SparkSession) -> None:
         sc._keepset_shipped = True
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's functions take it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until df has no such column."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
