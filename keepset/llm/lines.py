@@ -8,14 +8,16 @@ line stands in a document with a smaller id, or an equal one earlier in the same
 2. A line of length l is cut into EDITS + 1 segments. Some segment of it is found unchanged in any linked line, at a place that
    the two lengths bound: each line puts its own segments into the index, and probes it with those substrings that may match
    the segments of lines of its own and the EDITS next smaller lengths.
-3. The join of probes and index also compares, inside its condition, the lengths and how often either line has each of eight
-   frequent letters; an edit adds one letter at most and takes one at most. So lines that only share a segment leave few pairs.
+3. The join of probes and index also compares, inside its condition, the lengths and how often either line has each of
+   sixteen frequent letters; an edit adds one letter at most and takes one at most. So lines that only share a segment leave few pairs.
 4. The pairs that are left are verified once each by Spark's levenshtein with a threshold, which computes the band of the matrix
    only and stops early. (It takes the place of a bit-parallel one: words of bits in higher-order functions are interpreted.)
+5. A segment that more than BUSY lines have (a numbered footer's words) would leave all pairs of them. Its lines meet in cells that
+   verify a pair inside the join and add it up on the spot, so that neither pairs nor a whole group reach a task or a table.
 
 Null texts have no lines. Rows with a null id lose only lines that repeat within them. Rows with equal ids do not count against one
-another. Any length of line is compared whole. An empty table gives an empty result. Extra columns are passed through by
-dedup_lines() and are not read elsewhere.
+another; repeated rows are judged alike. A text or line of any length is compared whole. An empty table gives an empty result. Extra
+columns, whatever their names, are passed through by dedup_lines() and are not read elsewhere.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepset.runtime import Scratch
+from keepset.runtime import Scratch, quoted, unused
 
 #: Edits that link lines, and the characters that a line needs to be linked to another.
 EDITS, LEAST = 2, 24
-LETTERS = "etanorih"
+#: Letters that sketches count, and those that stand beside them in crowds.
+LETTERS, MORE_LETTERS = "etanorihsdlcumgp", "0123456789bfvwyz"
+#: Lines beyond which a segment's key is busy, and lines on either side of a cell of such a key.
+BUSY, CELL = 1000, 4096
 #: Pairs whose numbers may be broadcast: 16 bytes each.
 FEW = 1_000_000
 _WHITE = " \t\n\x0b\x0c\r"
@@ -55,28 +60,16 @@ def different_lines(docs: DataFrame) -> DataFrame:
     return lines.withColumns({"length": F.char_length("line"), "sketch": _sketch(F.col("line"))})
 
 
-def _sketch(line: Column) -> Column:
-    """Counts of the frequent letters modulo 16, four bits each."""
-    out = F.lit(0).cast("int")
-    for k, letter in enumerate(LETTERS):
+def _sketch(line: Column, letters: str = LETTERS) -> Column:
+    """Counts of 16 letters modulo 4, two bits each, in the Gray code, so that one letter more or less changes one bit."""
+    out = F.lit(0)
+    for k, letter in enumerate(letters):
         count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter)))
-        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)), 4 * k))
+        gray = count.bitwiseXOR(F.shiftright(count, 1)).bitwiseAND(F.lit(3))
+        out = out.bitwiseOR(F.shiftleft(gray, 2 * k))
     return out
 
 
-def _possible(shorter: Column, longer: Column, more: Column, edits: int) -> Column:
-    """Whether two sketches' counts can be `edits` apart, if the second line is longer by `more`.
-
-    An insertion adds one letter, a deletion takes one, a replacement does both; `more` of the edits are insertions at least.
-    """
-    added = taken = F.lit(0)
-    for k in range(len(LETTERS)):
-        count = lambda of: F.shiftrightunsigned(of, 4 * k).bitwiseAND(F.lit(15))
-        change = (count(longer) - count(shorter) + 8).bitwiseAND(F.lit(15)) - 8
-        added, taken = added + F.greatest(change, F.lit(0)), taken + F.greatest(-change, F.lit(0))
-    return (added <= edits) & (taken <= edits - more)
-
-
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     """Start (from 0) and size of segment i of a line of that length; the last ones are longer by one where it does not divide."""
     n = edits + 1
@@ -91,11 +84,11 @@ def _shifts(i: int, more: int, edits: int) -> range:
     return range(max(-i, more - (edits - i)), min(i, more + (edits - i)) + 1)
 
 
-def links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(a, b) numbers of different lines that may have at most `edits` edits between them, each pair once, b the longer one.
+def _keyed(lines: DataFrame, edits: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(key, a, length_a, sketch_a) of the lines' own segments, (key, b, length_b, sketch_b) of what they look for.
 
-    lines: different_lines(). Keys have the segment's number and characters; the lengths are compared in the join's condition, so
-    probes that several lengths share are sent once.
+    Keys have the segment's number and characters; the lengths are compared in the join's condition, so probes that several lengths
+    share are sent once.
     """
     lines = lines.where(F.col("length") >= least)
     length = F.col("length")
@@ -109,11 +102,63 @@ def links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame
         for more in range(edits + 1):
             at, size = _segment(length - more, i, edits)
             probes += [F.when(length - more >= least, key(i, at + shift, size)) for shift in _shifts(i, more, edits)]
-    rows = lambda keys, *names: lines.select(F.col("number").alias(names[0]), length.alias(names[1]), F.col("sketch").alias(names[2]), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias(names[3]))
-    index, probe = rows(own, "a", "length_a", "sketch_a", "key_a"), rows(probes, "b", "length_b", "sketch_b", "key_b")
+    rows = lambda keys, name: lines.select(F.col("number").alias(name), length.alias(f"length_{name}"), F.col("sketch").alias(f"sketch_{name}"), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+    return rows(own, "a"), rows(probes, "b")
+
+
+def _apart(x: str, y: str, edits: int) -> Column:
+    """Whether two sketches let a pair pass: an edit takes one letter and adds one at most, a length's difference adds only."""
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * edits - (F.col("length_b") - F.col("length_a"))
+
+
+def _fits(edits: int) -> Column:
+    """Whether lengths and sketches let a pair pass; of two lines of one length the one with the smaller number is a."""
     more = F.col("length_b") - F.col("length_a")
-    fits = more.between(0, edits) & ((more > 0) | (F.col("a") < F.col("b"))) & _possible(F.col("sketch_a"), F.col("sketch_b"), more, edits)
-    return index.join(probe, (F.col("key_a") == F.col("key_b")) & fits).select("a", "b").distinct()
+    return more.between(0, edits) & ((more > 0) | (F.col("a") < F.col("b"))) & _apart("sketch_a", "sketch_b", edits)
+
+
+def links(lines: DataFrame, edits: int = EDITS, least: int = LEAST, busy: DataFrame | None = None) -> DataFrame:
+    """(a, b) numbers of different lines that may have at most `edits` edits between them, each pair once, b the longer one.
+
+    lines: different_lines(). busy: keys under which lines are not to meet.
+    """
+    index, probe = _keyed(lines, edits, least)
+    if busy is not None:
+        index = index.join(busy, "key", "left_anti")
+    probe = probe.withColumnRenamed("key", "key_b")
+    return index.join(probe, (F.col("key") == F.col("key_b")) & _fits(edits)).select("a", "b").distinct()
+
+
+def _crowded(lines: DataFrame, busy: DataFrame, pairs: DataFrame, scratch: Scratch, edits: int, least: int, cell: int) -> tuple[DataFrame, DataFrame]:
+    """(number, n, near) over the links of lines that meet under busy keys, and the pairs that share no such key.
+
+    A key's lines are dealt to cells of at most about `cell` on either side. A pair is verified inside the join's condition, under
+    the smallest busy key it shares, and is added up where it is found: no pair is written or shuffled.
+    """
+    index, probe = _keyed(lines, edits, least)
+    own = scratch.table(index.join(busy.select("key"), "key").select("key", "a"), "own")
+    asked = scratch.table(probe.join(busy.select("key"), "key").select("key", "b"), "asked")
+    held = scratch.table(own.groupBy("a").agg(F.collect_set("key").alias("own_keys")), "held")  # a line's segments
+    wanted = scratch.table(asked.groupBy("b").agg(F.collect_set("key").alias("asked_keys")), "wanted")  # a line's probes
+    chunks = lambda of, name: of.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).alias(name))
+    dealt = scratch.table(chunks(own, "rows").join(chunks(asked, "columns"), "key"), "dealt")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one_of = lambda who, n: F.pmod(F.xxhash64(who), F.col(n))
+
+    def side(of: DataFrame, keys: DataFrame, who: str, row: Column, column: Column) -> DataFrame:
+        text = lines.select(F.col("number").alias(who), *(F.col(c).alias(f"{c}_{who}") for c in ("length", "sketch", "first", "line")), _sketch(F.col("line"), MORE_LETTERS).alias(f"more_{who}"))
+        rows = of.join(dealt, "key").join(keys, who).withColumn("row", row).withColumn("column", column).drop("rows", "columns")
+        return rows.join(text, who)
+
+    left = side(own, held, "a", one_of("a", "rows"), all_of("columns"))
+    right = side(asked, wanted, "b", all_of("rows"), one_of("b", "columns")).withColumnsRenamed({"key": "key_b", "row": "row_b", "column": "column_b"})
+    met = (F.col("key") == F.col("key_b")) & (F.col("row") == F.col("row_b")) & (F.col("column") == F.col("column_b")) & _fits(edits)
+    met = met & _apart("more_a", "more_b", edits)
+    met = met & (F.array_min(F.array_intersect("own_keys", "asked_keys")) == F.col("key")) & (F.levenshtein("line_a", "line_b", edits) >= 0)
+    ends = F.array(F.struct(F.col("a").alias("number"), F.col("first_b").alias("near")), F.struct(F.col("b").alias("number"), F.col("first_a").alias("near")))
+    found = left.join(right, met).select(F.explode(ends).alias("end")).groupBy("end.number").agg(F.count(F.lit(1)).alias("n"), F.min("end.near").alias("near"))
+    apart = pairs.join(held, "a", "left").join(wanted, "b", "left").where(~F.coalesce(F.arrays_overlap("own_keys", "asked_keys"), F.lit(False)))
+    return scratch.table(found, "crowded"), scratch.table(apart.select("a", "b"), "apart")
 
 
 def verified(pairs: DataFrame, lines: DataFrame, edits: int = EDITS, few: int = FEW) -> DataFrame:
@@ -128,18 +173,24 @@ def verified(pairs: DataFrame, lines: DataFrame, edits: int = EDITS, few: int =
     return held.join(other, (F.col("b") == F.col("other")) & (F.levenshtein("x", "y", edits) >= 0)).select("a", "b")
 
 
-def line_classes(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def line_classes(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = LEAST, busy: int = BUSY, cell: int = CELL) -> DataFrame:
     """h1, h2, first, n_links and near_first of each different line: the smallest doc_id that has it, its linked lines, and the
     smallest doc_id that has one of them."""
     lines = scratch.table(different_lines(docs), "lines")
-    pairs = scratch.table(links(lines, edits, least), "pairs")
+    crowds = scratch.table(_keyed(lines, edits, least)[0].groupBy("key").count().where(F.col("count") > busy), "busy")
+    crowded = not crowds.isEmpty()
+    pairs = scratch.table(links(lines, edits, least, crowds if crowded else None), "pairs")
+    if crowded:
+        found, pairs = _crowded(lines, crowds, pairs, scratch, edits, least, cell)
     linked = scratch.table(verified(pairs, lines, edits), "links")
     both = linked.union(linked.select("b", "a")).toDF("number", "other")
     first = lines.select(F.col("number").alias("other"), F.col("first").alias("other_first"))
-    near = both.join(first, "other").groupBy("number").agg(F.count(F.lit(1)).alias("n_links"), F.min("other_first").alias("near_first"))
+    near = both.join(first, "other").groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.min("other_first").alias("near"))
+    if crowded:
+        near = near.union(found).groupBy("number").agg(F.sum("n").alias("n"), F.min("near").alias("near"))
     out = lines.select("number", "first", *_hashes(F.col("line"))).join(near, "number", "left")
-    out = scratch.table(out.select("h1", "h2", "first", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "near_first"), "classes")
-    for name in ("lines", "pairs", "links"):
+    out = scratch.table(out.select("h1", "h2", "first", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), F.col("near").alias("near_first")), "classes")
+    for name in ("lines", "busy", "pairs", "links", "own", "asked", "held", "wanted", "dealt", "crowded", "apart"):
         scratch.drop(name)
     return out
 
@@ -165,14 +216,15 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: in
     """The documents with their own columns, texts without the lines that go; n_chars, if there, is set anew."""
     judged = _judged(docs, line_classes(docs, scratch, edits, least))
     found = judged.groupBy("doc_id", "tie").agg(F.max("gone").alias("some"), F.array_sort(F.collect_set(F.struct("place", "gone"))).alias("places")).where("some")
-    found = found.select(F.col("doc_id").alias("found_id"), F.col("tie").alias("found_tie"), F.col("places.gone").alias("gone"))
-    joined = docs.join(found, (docs["doc_id"].cast("long") == found["found_id"]) & (F.xxhash64(docs["text"]) == found["found_tie"]), "left")
+    own_id, own_tie, places, kept = unused(docs, "own_id", "own_tie", "places", "kept")  # docs may have any other column
+    found = found.select(F.col("doc_id").alias(own_id), F.col("tie").alias(own_tie), F.col("places.gone").alias(places))
+    joined = docs.join(found, (docs["doc_id"].cast("long") == found[own_id]) & (F.xxhash64(docs["text"]) == found[own_tie]), "left")
     marked = _marked(docs["text"])
-    stays = F.when(F.col("gone").isNull(), marked).otherwise(F.filter(marked, lambda x, i: ~F.get("gone", i)))
+    stays = F.when(found[places].isNull(), marked).otherwise(F.filter(marked, lambda x, i: ~F.get(found[places], i)))
     text = F.when(docs["text"].isNotNull(), F.array_join(F.transform(stays, lambda x: F.substring_index(x, "\n", 1)), "\n"))
-    out = joined.withColumn("kept_text", text)
-    columns = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return out.select(*(columns[c].alias(c) if c in columns else docs[c] for c in docs.columns))
+    out = joined.withColumn(kept, text).select(F.col(kept), *(docs[quoted(c)] for c in docs.columns))
+    columns = {"text": F.col(kept), "n_chars": F.char_length(kept).cast("long")}
+    return out.select(*(columns[c].alias(c) if c in columns else F.col(quoted(c)) for c in docs.columns))
 
 
 def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,8 +232,8 @@ def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_lines(docs, line_classes(docs, Scratch(spark, "op7")))
 
 
-_COUNTS = ", ".join(f"length(line) - length(replace(line, '{c}', '')) as n_{c}" for c in LETTERS)
-_APART = " + ".join(f"abs(a.n_{c} - b.n_{c})" for c in LETTERS)
+_COUNTS = ", ".join(f"length(line) - length(replace(line, '{c}', '')) as n_{c}" for c in LETTERS[:8])
+_APART = " + ".join(f"abs(a.n_{c} - b.n_{c})" for c in LETTERS[:8])
 #: The same rows from DuckDB: lines of like length and letters, each pair measured.
 ORACLE = f"""
 with l as (select distinct doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),

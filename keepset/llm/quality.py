@@ -1,11 +1,12 @@
 """Quality rules (operator 2): base counts, and a logistic regression over hashed word and character n-grams.
 
-Features are four blocks of buckets: byte pairs, runs of four bytes, words and word pairs, each block the shares of its n-grams
-by bucket, so a document's score is a sum of four mean weights. The regression is fitted on a bounded, class-balanced sample of
+Features are four blocks of buckets: pairs of characters (code points), runs of four, words and word pairs, each block the shares of
+its n-grams by bucket, so a document's score is a sum of four mean weights. The regression is fitted on a bounded, class-balanced sample of
 labelled documents; its scores become probabilities by Platt's method on a second bounded sample in the labels' own shares.
 Documents are scored in Arrow batches while they are read, against a fixed threshold; nothing is shuffled.
 
-Null texts count as empty; these have no words and fail the base rules. Repeated rows are judged each. If the labels lack a
+Null texts count as empty; these have no words and fail the base rules. Texts of any length are read whole. Repeated rows and ids
+are judged each. If the labels lack a
 class, there is no model and the base rules decide alone. An empty table gives an empty result. Columns other than doc_id and
 text are not read; they and their names do not matter.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepset.llm import words as W
-from keepset.llm.labelled import sample
+from keepset.llm.labelled import chosen, read
 from keepset.llm.tokens import slices
 from keepset.runtime import ship, tidy
 
@@ -49,9 +50,9 @@ class Model:
 
 def buckets(text: bytes, words: list[bytes], bits: int = BITS) -> list[np.ndarray]:
     """The bucket of every n-gram, block by block."""
-    a = np.frombuffer(text, np.uint8).astype(np.uint32)
-    two = (a[:-1] | a[1:] << np.uint32(8)) if len(a) > 1 else a[:0]
-    four = (two[:-2] | two[2:] << np.uint32(16)) if len(two) > 2 else a[:0]
+    a = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
+    two = a[:-1] * np.uint32(0xC2B2AE35) + a[1:] if len(a) > 1 else a[:0]
+    four = two[:-2] * np.uint32(0x27D4EB2F) + two[2:] if len(two) > 2 else a[:0]
     one = _HASHES.array(words)
     pair = one[:-1] * np.uint32(0x85EBCA6B) + one[1:] if len(one) > 1 else one[:0]
     return [((x * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)) for x in (two, four, one, pair)]
@@ -68,8 +69,10 @@ def _shares(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return where, out.reshape(-1)[where]
 
 
-def _collected(rows: DataFrame, bits: int):
-    """Places, values (arrays of arrays) and labels of a bounded sample's features, in the order of ids; made on the executors."""
+def _collected(rows: DataFrame, bits: int, parts: int):
+    """Places, values (arrays of arrays) and labels of each part of bounded samples, in the order of ids; made on the executors."""
+    import pyarrow.compute as pc
+
     ship(rows.sparkSession)
 
     def features(batches: Iterator) -> Iterator:
@@ -78,10 +81,11 @@ def _collected(rows: DataFrame, bits: int):
         for batch in batches:
             for part in slices(batch, 64):
                 found = [_shares(x, bits) for x in W.texts_of(part)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())), pa.array([y for _, y in found], pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "label", "part")), pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())), pa.array([y for _, y in found], pa.list_(pa.float32()))], ["doc_id", "label", "part", "at", "value"])
 
-    table = rows.mapInArrow(tidy(features), "doc_id long, label int, at array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    return table.column("at").combine_chunks(), table.column("value").combine_chunks(), table.column("label").to_numpy().astype(np.float64)
+    table = rows.mapInArrow(tidy(features), "doc_id long, label int, part int, at array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    for own in (table.filter(pc.equal(table.column("part"), k)) for k in range(parts)):
+        yield own.column("at").combine_chunks(), own.column("value").combine_chunks(), own.column("label").to_numpy().astype(np.float64)
 
 
 def _raw(at, value, weights: np.ndarray) -> np.ndarray:
@@ -125,11 +129,11 @@ def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS, bits: int = BITS) -> Model | None:
     """The model, or None if the labels lack a class. One fifth of the labels, by a hash of the id, only calibrates."""
     apart = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibration")), F.lit(5)) == 0
-    at, value, y = _collected(sample(docs, labels, "quality", fit_rows, ~apart, by_class=True), bits)
+    ids = chosen(labels, "quality", fit_rows, ~apart, by_class=True), chosen(labels, "quality", calibration_rows, apart)
+    (at, value, y), (held, shares, truth) = _collected(read(docs, *ids), bits, 2)
     if len(set(y.tolist())) < 2:
         return None
     weights = _logistic(at, value, y, BLOCKS << bits)
-    held, shares, truth = _collected(sample(docs, labels, "quality", calibration_rows, apart), bits)
     raw = _raw(held, shares, weights)
     if len(set(truth.tolist())) < 2:
         raw, truth = _raw(at, value, weights), y

@@ -3,7 +3,8 @@
 Both vocabularies used here part a text into pre-tokens before they merge, and a blank that a non-blank follows always starts a
 new one, so a text's ids are those of its blank-separated pieces, one after another. Where every full stop and comma of a text
 stands between letters, digits and white space, and no line end touches other white space, these characters are pre-tokens of
-their own and part the text further. A text in which a blank is followed by white space or ends the text is encoded in one go.
+their own and part the text further. A text in which a blank is followed by white space or ends the text, and one that may hold an added
+token (such as an end mark), is encoded in one go, as the library does by default.
 """
 
 from __future__ import annotations
@@ -62,8 +63,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.most = most
+        self.marks = tuple({x.content[:2].lower() for x in self.library.get_added_tokens_decoder().values()})  # how added tokens start
         self.pieces, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         tokens = self.library.get_vocab()
         self.opens = np.zeros(max(tokens.values()) + 2, dtype=bool)  # ids that start a word after a blank, or
@@ -116,7 +117,7 @@ class Encoder:
         import pyarrow.compute as pc
 
         tail = b"" if end is None else int(end).to_bytes(4, "little")
-        parted = [_parted(x or "") for x in texts]
+        parted = [None if x and any(m in x for m in self.marks) else _parted(x or "") for x in texts]
         lists = pc.split_pattern(pa.array([x or "" for x in parted], pa.large_string()), "\0")
         coded = lists.values.dictionary_encode()
         places = self._places(coded.dictionary)

@@ -39,7 +39,7 @@ def odd(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("odd"))
     ids = [0, 1, 2, 3, 3, 5, 6, 7, None, 9]
     n = len(ids)
-    extra = {c: pa.array([None] * n, pa.string()) for c in ("kept", "gone", "label", "score", "fingerprint", "tie", "places", "row", "start")}
+    extra = {c: pa.array([None] * n, pa.string()) for c in ("kept", "gone", "label", "score", "fingerprint", "tie", "places", "row", "start", "kept_text", "found_id", "found_tie", "own_id", "part", "line", "key", "component_id")}
     write(folder, "documents", doc_id=pa.array(ids, pa.int64()), text=pa.array(TEXTS), lang=pa.array([None] * n, pa.string()), source=pa.array([None, *["s"] * (n - 1)]), n_chars=pa.array([len(x or "") for x in TEXTS]), **extra)
     write(folder, "labels", doc_id=pa.array([None, 1, 3, 3, 7], pa.int64()), quality=pa.array([1, None, 0, 1, 1], pa.int32()), toxic=pa.array([None] * 5, pa.int32()))
     write(folder, "benchmark", item_id=pa.array([None, 1, 2], pa.int64()), text=pa.array(["a b", None, " ".join(f"w{i}" for i in range(100, 130))]))
@@ -74,7 +74,6 @@ def ids_of(name, text, end):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokens.vocabulary(name))
-    library.encode_special_tokens = True
     return np.array(library.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
@@ -160,6 +159,21 @@ def test_quality_model_on_labels(spark):
     assert shares[1] > 0.97 and shares[0] < 0.1
 
 
+def test_quality_model_on_rows_it_never_saw(spark):
+    """Labels that are neither fitted nor calibrated on."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    judged = quality.score(docs, quality.fit(docs, labels.where(~apart))).join(labels.where(apart), "doc_id").where("not base_failed")
+    shares = dict(judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect())
+    assert shares[1] > 0.95 and shares[0] < 0.15
+
+
+def test_character_grams_are_of_code_points():
+    pair, four, _, _ = quality.buckets("né中é中".encode(), [])
+    assert len(pair) == 4 and pair[1] == pair[3] and len(four) == 2
+
+
 def test_word_hashes_start_anew(monkeypatch):
     from keepset.llm import words
 
@@ -416,6 +430,16 @@ def test_lines_that_go(spark, scratch):
         assert r["text"] == (None if text is None else "\n".join(want)) and r["n_chars"] == (None if text is None else len(r["text"]))
 
 
+@pytest.mark.parametrize(("busy", "cell"), [(lines.BUSY, lines.CELL), (20, 16)])
+def test_numbered_footers(spark, scratch, busy, cell):
+    """All lines share segments: the crowded way gives the same counts as the other one and as brute force."""
+    every = [f"Annual report of the company, page {k:04d} of many" for k in range(150)] + [f"{k} is the number of this other line" for k in range(60)] + ["Annual report of the company, page 00 of many", "alone among all of the lines here"]
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    near = {i: [j for j, y in enumerate(every) if j != i and abs(len(x) - len(y)) <= 2 and min(len(x), len(y)) >= lines.LEAST and _distance(x, y) <= 2] for i, x in enumerate(every)}
+    got = lines.document_lines(docs, lines.line_classes(docs, scratch, busy=busy, cell=cell)).collect()
+    assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got} == {i: (len(own), min([i, *own])) for i, own in near.items()}
+
+
 def test_main_path_is_native(spark, odd):
     plan = QUERIES["op7_line_edit_join"](spark, odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -475,20 +499,57 @@ def test_entropy():
         assert secrets.entropy_spans(fine, []) == []
 
 
-def test_sliding_counts_equal_fresh_ones():
+def _fresh(text, size=secrets.WINDOW):
     import math
+
+    for i in range(len(text) - size + 1):
+        own = text[i : i + size]
+        bits = -sum(n / size * math.log2(n / size) for n in Counter(own).values())
+        if bits >= next(least for _, chars, least in secrets.CLASSES if set(own) <= set(chars)) - 1e-9:
+            return True
+    return False
+
+
+def test_sliding_counts_equal_fresh_ones():
     import random
 
     rng = random.Random(5)
-    for _ in range(200):
-        text = "".join(rng.choice("0123456789abcdefXYZ+/")[0] for _ in range(rng.randint(24, 60)))
-        best = False
-        for i in range(len(text) - 23):
-            own = text[i : i + 24]
-            bits = -sum(n / 24 * math.log2(n / 24) for n in Counter(own).values())
-            kind = max(0 if c in secrets.CLASSES[0][1] else 1 if c in secrets.CLASSES[1][1] else 2 for c in own)
-            best |= bits >= secrets.CLASSES[kind][2] - 1e-12
-        assert secrets.entropic(text) == best
+    for _ in range(400):
+        text = "".join(rng.choice(rng.choice(("0123456789", "abcdef", "XYZ", "aB+/", "0123456789ABCDEF"))) for _ in range(rng.randint(16, 60)))
+        assert secrets.entropic(text) == _fresh(text)
+
+
+def test_spans_against_a_plain_version(spark, real):
+    """All candidates one by one, windows counted afresh."""
+    rng = np.random.default_rng(3)
+    texts = [t or "" for t in list(real.values())[:60]] + ["".join(rng.choice(list("aB3 =/_-zQ9k.X\n"), 300)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(docs).collect():
+        text, known = texts[r["doc_id"]], secrets.known_spans(texts[r["doc_id"]])
+        want = list(known)
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+            apart = all(b <= m.start() or a >= m.end() for a, _, b in known)
+            if len(m[0]) >= 16 and apart and not secrets.allowed(m[0]) and _fresh(m[0]):
+                want.append((m.start(), 3, m.end()))
+        assert [(x.start, secrets.KINDS.index(x.kind), x.stop) for x in r["spans"]] == sorted(want)
+
+
+ALPHABETS = {"0123456789ABCDEF": 0.95, "abcdefghijklmnopqrstuvwxyz0123456789": 0.85, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567": 0.7, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": 0.9}
+
+
+@pytest.mark.parametrize(("alphabet", "least"), ALPHABETS.items())
+def test_planted_secrets_are_found(alphabet, least):
+    import random
+
+    rng = random.Random(7)
+    for size in (16, 24, 40):
+        found = [bool(secrets.entropy_spans(f"see {''.join(rng.choice(alphabet) for _ in range(size))} there", [])) for _ in range(400)]
+        assert np.mean(found) >= least
+
+
+@pytest.mark.parametrize("fine", ["internationalization", "getUserAccountNameById", "Rechtsschutzversicherungsgesellschaften", "spark_sql_adaptive_enabled", "org/apache/spark/sql/execution", "anticonstitutionnellement", "2024-01-02-03-04-05"])
+def test_allowed_words(fine):
+    assert secrets.entropy_spans(f"a {fine} b", []) == []
 
 
 # 10
