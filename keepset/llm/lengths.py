@@ -1,6 +1,6 @@
 """Exact histogram of encoded lengths, and what suffix sums over it answer (operator 8).
 
-A length counts a document's ids without an end id. Null texts have length 0, as empty ones; repeated rows count each; an empty
+A length counts a document's ids without an end id; texts of any length are encoded whole. Null texts have length 0, as empty ones; repeated rows count each; an empty
 table gives an empty histogram, whose totals are 0 and whose quantiles are null. Other columns than text are not read.
 """
 

@@ -10,7 +10,7 @@ parts without loss bear no loss. Each partition is packed on its own while it is
 3. Then the piece that leaves most behind is cut to fill the room. A sequence that the segment or loss limit closed early, and
    a partition's last one, is cut down to a power of two; the rest goes back to the pool. So no sequence needs padding.
 
-Null texts and null parts count as empty: such a document has its end id alone. Rows with equal ids are packed as documents of
+Null texts and null parts count as empty: such a document has its end id alone. Texts of any length are encoded whole. Rows with equal ids are packed as documents of
 their own. An empty table gives no pieces. Columns other than the key and the texts are not read.
 """
 

@@ -6,7 +6,7 @@
 3. A logistic regression over the rules is fitted with a lasso penalty; most rules get weight zero and go.
 4. The rules that stay are compiled into one Spark column expression over the statistics' columns.
 
-Labels, languages, sources and ids are no inputs of a score. Null texts count as empty; empty texts have zero for all statistics
+Labels, languages, sources and ids are no inputs of a score. Texts of any length are read whole. Null texts count as empty; empty texts have zero for all statistics
 and are scored like others. Rows with a null id are scored, are not held out and are never learned from. If the labels that may be
 learned from lack a class, every score is the share of label 1, or 0.5 without labels. Repeated rows are scored each; an empty table
 gives an empty result. Only doc_id and text are read.

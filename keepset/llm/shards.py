@@ -10,7 +10,8 @@ is that of the difference at a given percentile of the block, so only the few la
 bytes from the first block, so ids can be read from any place without decoding what stands before.
 
 Segments are rows of a Parquet table in a shared folder, so that Spark's commit protocol keeps a lost executor or a repeated
-task from leaving half a file. Null texts count as empty. Rows come in ascending doc_id order, null ids first; rows with equal
+task from leaving half a file. Null texts count as empty; texts of any length are encoded whole, and one of more ids than a segment
+is a segment of its own. Rows come in ascending doc_id order, null ids first; rows with equal
 ids come in the order of their texts' hash. An empty table gives an empty table of segments. Extra columns are not read.
 """
 

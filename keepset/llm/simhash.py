@@ -9,7 +9,7 @@
 4. Groups of more than GROUP fingerprints are dealt to cells, one for each pair of their chunks, so that no task holds one whole.
 5. A cell sends on a spanning star of each of its connected parts, never all its links; stars are joined to components.
 
-Null texts have no words, hence fingerprint zero like any text without words; these link like any others. Null ids never become
+Texts of any length are read whole. Null texts have no words, hence fingerprint zero like any text without words; these link like any others. Null ids never become
 a component's id unless it has no other. Repeated rows come out each. An empty table gives an empty result. Only doc_id and text
 are read.
 """

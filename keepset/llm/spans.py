@@ -12,8 +12,8 @@ known by a 128-bit hash, with the document and position as its source coordinate
 
 Words of repeated windows are then removed. Windows are judged on the input; a window that only documents with the same or a larger
 id have stays. Null texts have no words; a row whose id is null loses nothing and no other row loses anything over it. Rows with
-equal ids do not count against one another. Texts of fewer words than a window stay whole. An empty table gives an empty result.
-Only doc_id and text are read.
+equal ids do not count against one another. Texts of fewer words than a window stay whole, and texts of any length are read whole. An
+empty table gives an empty result. Only doc_id and text are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -158,12 +158,14 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k:
     place = F.collect_list(F.struct("start", "n")).alias("places")  # no more than the document's words
     apart = marked.where("not settled").groupBy("doc_id", "tie").agg(place)
     windows = scratch.table(_windows(texts.join(apart, ["doc_id", "tie"]).select("doc_id", "tie", "text", "places"), window), "windows")
-    earliest = windows.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("one", "two", "low")
+    # Written, so that the join below shares no exchange with the sums and a hot window's rows can be split over tasks.
+    earliest = scratch.table(windows.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("one", "two", "low"), "earliest")
     again = windows.join(earliest, ["one", "two"]).where("low < doc_id").select("doc_id", "tie", "start", F.lit(1).alias("n"))
     every = marked.where("settled").select("doc_id", "tie", "start", "n").unionByName(again)
     out = scratch.table(every.groupBy("doc_id", "tie").agg(place), "repeated")
     scratch.drop("marked")
     scratch.drop("windows")
+    scratch.drop("earliest")
     return out
 
 

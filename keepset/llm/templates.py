@@ -16,7 +16,8 @@ Items of fewer tokens are one window. Templates need LITERALS literal tokens, an
    a document with an item, each value of the item must stand for one value of the document and the other way round. The longest
    such run counts, and verbatim windows count in any case. matches() takes whole alignments only, and templates only, unless told.
 
-A re-parameterised question so matches its template. Null texts and items count as empty. Rows with a null id are compared; repeated
+A re-parameterised question so matches its template. Null texts and items count as empty; texts and items of any length are read
+whole. Rows with a null id are compared; repeated
 rows and equal ids are one document in the result. Empty tables give an empty result. Only doc_id, text, item_id and text are read.
 """
 

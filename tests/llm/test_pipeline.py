@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from keepset.llm import catalog, quality, simhash, templates
 from keepset.runtime import Scratch
+from tests.llm.test_operators import empty, odd  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -68,5 +69,23 @@ def test_run_gives_the_same_rows(spark, written):
     assert set(columns) <= set(got.columns) and whole(got) == whole(written[-1])
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_and_empty_tables(spark, odd, empty, name):
+    """Nulls, empty and long texts, repeated rows and columns whose names the stages use themselves."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    for folder in (odd, empty):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        out = stage(spark, docs, folder)
+        rows = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns
+        if folder == empty:
+            assert not rows
+        elif name == "line dedup":
+            assert len(rows) == docs.count()
+        elif name == "packing":
+            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+
+
 def test_every_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", x)[1]) for x in catalog.queries()) == list(range(1, 11))
