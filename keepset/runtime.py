@@ -32,15 +32,20 @@ def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
         try:
             yield from function(batches)
         finally:
-            import ctypes
+            released()
 
-            import pyarrow as pa
+    return tidied
 
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
 
-    return tidied
+def released() -> None:
+    """Give memory that is no longer used back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def ship(spark: SparkSession) -> None:
