@@ -53,11 +53,13 @@ def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.hash(line).alias("h2")]
 
 
-def different_lines(docs: DataFrame) -> DataFrame:
-    """One row per different line: line, first (the smallest doc_id that has it), number (unique), length and sketch."""
+def different_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """One row per different line: line, first (the smallest doc_id that has it), number (unique), length, sketch and own, the keys of
+    its segments."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_marked(F.col("text"))).alias("line")).where(_has_word(F.col("line")))
     lines = own.groupBy("line").agg(F.min("doc_id").alias("first")).withColumn("number", F.monotonically_increasing_id())
-    return lines.withColumns({"length": F.char_length("line"), "sketch": _sketch(F.col("line"))})
+    lines = lines.withColumns({"length": F.char_length("line"), "sketch": _sketch(F.col("line"))})
+    return lines.withColumn("own", F.when(F.col("length") >= least, F.array_distinct(F.array(*_own(edits)))))
 
 
 def _sketch(line: Column, letters: str = LETTERS) -> Column:
@@ -84,26 +86,29 @@ def _shifts(i: int, more: int, edits: int) -> range:
     return range(max(-i, more - (edits - i)), min(i, more + (edits - i)) + 1)
 
 
-def _keyed(lines: DataFrame, edits: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """(key, a, length_a, sketch_a) of the lines' own segments, (key, b, length_b, sketch_b) of what they look for.
+def _key(i: int, at: Column, size: Column) -> Column:
+    return F.xxhash64(F.lit(i), F.substring(F.col("line"), at + 1, size))
 
-    Keys have the segment's number and characters; the lengths are compared in the join's condition, so probes that several lengths
-    share are sent once.
-    """
-    lines = lines.where(F.col("length") >= least)
-    length = F.col("length")
 
-    def key(i: int, at: Column, size: Column) -> Column:
-        return F.xxhash64(F.lit(i), F.substring(F.col("line"), at + 1, size))
+def _own(edits: int) -> list[Column]:
+    """The keys of a line's segments: their number and characters."""
+    return [_key(i, *_segment(F.col("length"), i, edits)) for i in range(edits + 1)]
+
+
+def _index(lines: DataFrame) -> DataFrame:
+    """(key, a, length_a, sketch_a) of the lines' own segments."""
+    return lines.select(F.col("number").alias("a"), F.col("length").alias("length_a"), F.col("sketch").alias("sketch_a"), F.explode("own").alias("key"))
+
 
-    own, probes = [], []
+def _probe(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """(key, b, length_b, sketch_b) of what lines look for. The lengths are compared in the join's condition, so probes that several
+    lengths share are sent once."""
+    lines, length, keys = lines.where(F.col("length") >= least), F.col("length"), []
     for i in range(edits + 1):
-        own.append(key(i, *_segment(length, i, edits)))
         for more in range(edits + 1):
             at, size = _segment(length - more, i, edits)
-            probes += [F.when(length - more >= least, key(i, at + shift, size)) for shift in _shifts(i, more, edits)]
-    rows = lambda keys, name: lines.select(F.col("number").alias(name), length.alias(f"length_{name}"), F.col("sketch").alias(f"sketch_{name}"), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
-    return rows(own, "a"), rows(probes, "b")
+            keys += [F.when(length - more >= least, _key(i, at + shift, size)) for shift in _shifts(i, more, edits)]
+    return lines.select(F.col("number").alias("b"), length.alias("length_b"), F.col("sketch").alias("sketch_b"), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
 
 
 def _apart(x: str, y: str, edits: int) -> Column:
@@ -120,9 +125,11 @@ def _fits(edits: int) -> Column:
 def links(lines: DataFrame, edits: int = EDITS, least: int = LEAST, busy: DataFrame | None = None) -> DataFrame:
     """(a, b) numbers of different lines that may have at most `edits` edits between them, each pair once, b the longer one.
 
-    lines: different_lines(). busy: keys under which lines are not to meet.
+    lines: different_lines(), or number, line, length and sketch. busy: keys under which lines are not to meet.
     """
-    index, probe = _keyed(lines, edits, least)
+    if "own" not in lines.columns:
+        lines = lines.withColumn("own", F.when(F.col("length") >= least, F.array_distinct(F.array(*_own(edits)))))
+    index, probe = _index(lines), _probe(lines, edits, least)
     if busy is not None:
         index = index.join(busy, "key", "left_anti")
     probe = probe.withColumnRenamed("key", "key_b")
@@ -135,7 +142,7 @@ def _crowded(lines: DataFrame, busy: DataFrame, pairs: DataFrame, scratch: Scrat
     A key's lines are dealt to cells of at most about `cell` on either side. A pair is verified inside the join's condition, under
     the smallest busy key it shares, and is added up where it is found: no pair is written or shuffled.
     """
-    index, probe = _keyed(lines, edits, least)
+    index, probe = _index(lines), _probe(lines, edits, least)
     own = scratch.table(index.join(busy.select("key"), "key").select("key", "a"), "own")
     asked = scratch.table(probe.join(busy.select("key"), "key").select("key", "b"), "asked")
     held = scratch.table(own.groupBy("a").agg(F.collect_set("key").alias("own_keys")), "held")  # a line's segments
@@ -176,8 +183,8 @@ def verified(pairs: DataFrame, lines: DataFrame, edits: int = EDITS, few: int =
 def line_classes(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = LEAST, busy: int = BUSY, cell: int = CELL) -> DataFrame:
     """h1, h2, first, n_links and near_first of each different line: the smallest doc_id that has it, its linked lines, and the
     smallest doc_id that has one of them."""
-    lines = scratch.table(different_lines(docs), "lines")
-    crowds = scratch.table(_keyed(lines, edits, least)[0].groupBy("key").count().where(F.col("count") > busy), "busy")
+    lines = scratch.table(different_lines(docs, edits, least), "lines")
+    crowds = scratch.table(_index(lines).groupBy("key").count().where(F.col("count") > busy), "busy")
     crowded = not crowds.isEmpty()
     pairs = scratch.table(links(lines, edits, least, crowds if crowded else None), "pairs")
     if crowded:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from keepset.llm import words as W
 from keepset.llm.labelled import chosen, read
 from keepset.llm.tokens import slices
-from keepset.runtime import ship, tidy
+from keepset.runtime import released, ship, tidy
 
 #: Buckets of a block (a power of two), labelled documents of each class that are fitted, those that calibrate, and the threshold.
 BITS, FIT_ROWS, CALIBRATION_ROWS, THRESHOLD = 11, 1000, 2000, 0.3
@@ -81,10 +81,11 @@ def _collected(rows: DataFrame, bits: int, parts: int):
         for batch in batches:
             for part in slices(batch, 64):
                 found = [_shares(x, bits) for x in W.texts_of(part)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "label", "part")), pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())), pa.array([y for _, y in found], pa.list_(pa.float32()))], ["doc_id", "label", "part", "at", "value"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "label", "part")), pa.array([x.astype(np.int16) for x, _ in found], pa.list_(pa.int16())), pa.array([y for _, y in found], pa.list_(pa.float32()))], ["doc_id", "label", "part", "at", "value"])
 
-    table = rows.mapInArrow(tidy(features), "doc_id long, label int, part int, at array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    for own in (table.filter(pc.equal(table.column("part"), k)) for k in range(parts)):
+    table = rows.mapInArrow(tidy(features), "doc_id long, label int, part int, at array<short>, value array<float>").toArrow()
+    for k in range(parts):
+        own = table.filter(pc.equal(table.column("part"), k)).sort_by([("doc_id", "ascending"), ("label", "ascending")])
         yield own.column("at").combine_chunks(), own.column("value").combine_chunks(), own.column("label").to_numpy().astype(np.float64)
 
 
@@ -126,8 +127,7 @@ def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a / spread), float(b - a * mean / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS, bits: int = BITS) -> Model | None:
-    """The model, or None if the labels lack a class. One fifth of the labels, by a hash of the id, only calibrates."""
+def _fitted(docs: DataFrame, labels: DataFrame, fit_rows: int, calibration_rows: int, bits: int) -> Model | None:
     apart = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibration")), F.lit(5)) == 0
     ids = chosen(labels, "quality", fit_rows, ~apart, by_class=True), chosen(labels, "quality", calibration_rows, apart)
     (at, value, y), (held, shares, truth) = _collected(read(docs, *ids), bits, 2)
@@ -142,6 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibratio
     return Model(weights.reshape(BLOCKS, size), slope, shift, bits)
 
 
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS, bits: int = BITS) -> Model | None:
+    """The model, or None if the labels lack a class. One fifth of the labels, by a hash of the id, only calibrates."""
+    try:
+        return _fitted(docs, labels, fit_rows, calibration_rows, bits)
+    finally:
+        released()  # the samples' memory on the driver
+
+
 def _judged(texts: list[bytes], model: Model | None, threshold: float) -> list[tuple]:
     """COUNTS, base_failed, probability and kept of each text."""
     rows = []
