@@ -10,6 +10,7 @@
     --exclude NAME    leave folders of that name out; may be given again
     --window SECONDS  how far apart two captures may be to be compared
     --audit PAIRS     what became of the pairs in a CSV of file_a, file_b; goes to the job's fates
+    --verdicts CSV    alignments made elsewhere: file_a, file_b, scene, block, ratio and what else was measured
     --queue           FOLDER holds tickets, each naming folders to analyse
 """
 
@@ -26,7 +27,7 @@ from keepset import actions
 from keepset.functions import scalars as S
 from keepset.operators import cascade, journal
 from keepset.plans import library
-from keepset.sources import files, records
+from keepset.sources import files, pixels, records
 from keepset.streaming import sessions
 
 WORKING = "_keepset"
@@ -40,7 +41,7 @@ def jobs(spark: SparkSession, folder: str) -> dict[str, set[str]]:
     return {p.rpartition("/")[2]: {q.rpartition("/")[2] for q, _ in store.children(p)} for p, is_folder in store.children(root) if is_folder}
 
 
-def analyse(spark: SparkSession, folder: str, listed: str | None = None, block: float | None = None, ratio: float | None = None, exclude: tuple[str, ...] = (), window: float = S.WINDOW, audit: str | None = None) -> str:
+def analyse(spark: SparkSession, folder: str, listed: str | None = None, block: float | None = None, ratio: float | None = None, exclude: tuple[str, ...] = (), window: float = S.WINDOW, audit: str | None = None, verdicts: str | None = None) -> str:
     """Write a plan; returns the job's name."""
     found = files.scan(spark, folder, exclude=(WORKING, *exclude), content=True)
     if listed:
@@ -50,7 +51,9 @@ def analyse(spark: SparkSession, folder: str, listed: str | None = None, block:
     taken, stamp = jobs(spark, folder), datetime.now(timezone.utc).strftime("%Y-%m-%d")
     job = next(name for k in range(1, len(taken) + 2) if (name := f"{stamp} {k:03d}") not in taken)
     where = f"{folder}/{WORKING}/{job}"
-    plan, fates = library.manifest(spark, found, limits, window=window)
+    videos = files.scan(spark, folder, exclude=(WORKING, *exclude), extensions=S.VIDEO_EXTENSIONS)
+    aligned = records.read(spark, verdicts, "verdicts") if verdicts else None
+    plan, fates = library.manifest(spark, found, limits, aligned, window=window, videos=videos, looks=pixels.looks(pixels.pictures(spark, folder)))
     records.write(plan, f"{where}/plan", "plan")
     if audit:
         records.write(library.audited(records.read(spark, audit, "audit"), fates, records.read(spark, f"{where}/plan", "plan")), f"{where}/fates", "fates")
@@ -121,6 +124,7 @@ def main() -> None:
     parser.add_argument("--exclude", action="append", default=[])
     parser.add_argument("--window", type=float, default=S.WINDOW)
     parser.add_argument("--audit", metavar="PAIRS")
+    parser.add_argument("--verdicts", metavar="CSV")
     parser.add_argument("--queue", action="store_true")
     args = parser.parse_args()
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -142,7 +146,7 @@ def main() -> None:
     elif args.queue:
         sessions.drain(spark, args.folder, f"{args.folder}/{WORKING}/queue", lambda folder: print(folder, analyse(spark, folder)))
     else:
-        print(analyse(spark, args.folder, args.files, args.block, args.ratio, tuple(args.exclude), args.window, args.audit))
+        print(analyse(spark, args.folder, args.files, args.block, args.ratio, tuple(args.exclude), args.window, args.audit, args.verdicts))
 
 
 if __name__ == "__main__":

@@ -11,6 +11,7 @@ AGREE_BLOCK, AGREE_RATIO, STRUCTURE_FLOOR = 10.0, 5.0, 0.97
 #: File extensions.
 RAW_EXTENSIONS = (".arw", ".cr2", ".cr3", ".crw", ".nef", ".nrw", ".dng", ".raf", ".orf", ".rw2", ".pef", ".srw", ".raw", ".3fr", ".erf", ".mrw", ".x3f")
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".heic", ".heif", ".webp", ".bmp")
+VIDEO_EXTENSIONS = (".mov", ".mp4")
 LIBRARY_EXTENSIONS = (".photoslibrary", ".photolibrary", ".aplibrary", ".migratedphotolibrary", ".lrlibrary", ".lrcat")
 LOSSLESS_EXTENSIONS = (".png", ".tif", ".tiff", ".bmp")
 #: Names that editing software signs with.

@@ -91,9 +91,9 @@ def identical_normalised(spark, d):
     return docs.groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("first_doc"), F.count_distinct("own").alias("variants")).where("group_size >= 2")
 
 
-#: Records for ranking: each rung from a fact about the document or its labels. Near copies begin alike.
+#: Records for ranking: each rung from a fact about the document or its labels. A family has one language and about one length.
 _RECORDS = """
-select d.doc_id, md5(left(text, 24)) as family, md5(text) as md5, n_chars,
+select d.doc_id, md5(lang || ':' || (n_chars // 20)::varchar) as family, md5(text) as md5, n_chars,
   (l.doc_id is not null)::bigint as motion, (source = 'src0')::bigint as raw, 1 - coalesce(toxic, 0)::bigint as "real", n_chars as pixels,
   (position('!!' in text) = 0)::bigint as unedited, (lang = 'en')::bigint as camera, coalesce(quality, 1)::bigint as merged,
   (text like '%.')::bigint as upright, length(replace(text, '#', '')) - length(text) as finer,
@@ -112,7 +112,7 @@ def records(spark, d) -> DataFrame:
     lacks = lambda c: (F.length(text) - F.length(F.replace(text, F.lit(c)))).cast(LONG)
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"), F.lit(1).alias("labelled"))
     facts = table(spark, d, "documents").select(
-        "doc_id", "n_chars", F.md5(F.substring(text, 1, 24)).alias("family"), F.md5(text).alias("md5"),
+        "doc_id", "n_chars", F.md5(F.concat("lang", F.lit(":"), F.floor(F.col("n_chars") / 20).cast("string"))).alias("family"), F.md5(text).alias("md5"),
         _long(F.col("source") == "src0", "raw"), _long("n_chars", "pixels"), _long(~F.contains(text, F.lit("!!")), "unedited"), _long(F.col("lang") == "en", "camera"),
         _long(F.endswith(text, F.lit(".")), "upright"), (-lacks("#")).alias("finer"), F.least(F.lit(2).cast(LONG), lacks("\n")).alias("metadata"),
         _long(-S.compression_tier(lacks("*").cast("double"), F.lit(False)), "tier"), lacks(" ").alias("sharp"), _long(F.octet_length(text), "bytes"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"),
@@ -236,25 +236,45 @@ def reason_counts(spark, d):
 
 @query("containment_crop", """
 select d.doc_id, b.item_id, position(b.text in d.text) as at, round(length(b.text)::double / length(d.text), 6) as share
-from documents d join benchmark b on position(b.text in d.text) > 0
+from documents d join benchmark b on position(b.text in d.text) > 0 and b.text <> ''
 """)
 def containment_crop(spark, d):
-    """Items meet only documents that hold the first four words of theirs in a row; then the whole passage is looked for."""
-    words = lambda c: F.split(c, "[ \\n]+")
-    items = table(spark, d, "benchmark").withColumn("key", F.xxhash64(F.slice(words(F.col("text")), 1, 4))).select("item_id", F.col("text").alias("passage"), "key", F.size(words(F.col("text"))).alias("n"))
-    docs = table(spark, d, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
-    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda k: F.xxhash64(F.slice(F.col("w"), k, 4)))
-    met = docs.select("doc_id", "text", F.explode(F.array_distinct(keys)).alias("key")).join(F.broadcast(items) if _small(items) else items, "key")
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return contained(table(spark, d, "documents").select("doc_id", "text"), items)
+
+
+#: What an item is known by, the first that it has: so many pieces between blanks that it holds whole, else so many bytes.
+PIECES, BYTES = (4, 1), (16, 4, 1)
+
+
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, at and share of each item (item_id, passage) that a document (doc_id, text) holds, wherever it starts.
+
+    Documents look up the keys at all their places, ids alone; only pairs that meet get their texts, and the passage is searched whole.
+    An item's first and last piece may be parts of a document's, so only those between them are keys. Repeated rows come out each.
+    Null and empty items are left out.
+    """
+    items = items.where("passage <> ''").withColumn("item_row", F.xxhash64("item_id", "passage"))
+    rows = docs.where("text is not null").withColumn("doc_row", F.xxhash64("doc_id", "text"))
+    known = items.selectExpr("item_row", "passage", "size(split(passage, ' ')) - 2 as inner", "octet_length(passage) as bytes")
+    cases = [(f"inner >= {n}", f"p{n}", f"xxhash64('p{n}', slice(split(passage, ' '), cast(2 + (inner - {n}) div 2 as int), {n}))") for n in PIECES]
+    cases += [(f"bytes >= {n}", f"b{n}", f"xxhash64('b{n}', substring(cast(passage as binary), cast(1 + (bytes - {n}) div 2 as int), {n}))") for n in BYTES]
+    choose = lambda k: "case " + " ".join(f"when {c[0]} then {c[k] if k == 2 else repr(c[k])}" for c in cases) + " end"
+    keys = known.selectExpr("item_row", f"{choose(1)} as kind", f"{choose(2)} as key").distinct()
+    places = {f"p{n}": f"transform(sequence(1, greatest(size(split(text, ' ')) - {n - 1}, 1)), k -> xxhash64('p{n}', slice(pieces, k, {n})))" for n in PIECES}
+    places |= {f"b{n}": f"transform(sequence(1, greatest(octet_length(text) - {n - 1}, 1)), k -> xxhash64('b{n}', substring(bytes, k, {n})))" for n in BYTES}
+    read = rows.selectExpr("doc_row", "text", "split(text, ' ') as pieces", "cast(text as binary) as bytes")
+    met = None
+    for kind in sorted(r[0] for r in keys.select("kind").distinct().collect()):  # five at most
+        own = read.select("doc_row", F.explode(F.array_distinct(F.expr(places[kind]))).alias("key")).join(keys.where(F.col("kind") == kind), "key").select("doc_row", "item_row")
+        met = own if met is None else met.union(own)
     at = F.position(F.col("passage"), F.col("text"))
-    return met.where(at > 0).select("doc_id", "item_id", at.cast(LONG).alias("at"), F.round(F.length("passage") / F.length("text"), 6).alias("share"))
-
-
-def _small(df: DataFrame, rows: int = 100_000) -> bool:
-    return df.limit(rows + 1).count() <= rows
+    both = rows.join(items, F.lit(False)) if met is None else met.distinct().join(rows, "doc_row").join(items, "item_row").where(at > 0)
+    return both.select("doc_id", "item_id", at.cast(LONG).alias("at"), F.round(F.length("passage") / F.length("text"), 6).alias("share"))
 
 
 @query("marker_flags", """
-select doc_id, regexp_matches(lower(left(text, 200)), 'photoshop|lightroom|gimp|photo gallery|picasa|snapseed|pixelmator|affinity|luminar|capture one|acdsee|corel|on1|photos |photoscape|paint\\.net') as edited,
+select doc_id, regexp_matches(lower(text), 'photoshop|lightroom|gimp|photo gallery|picasa|snapseed|pixelmator|affinity|luminar|capture one|acdsee|corel|on1|photos |photoscape|paint\\.net') as edited,
 lang in ('en', 'de') as maker, n_chars % 7 = 0 as moved, coalesce(nullif(n_chars % 9, 0) not in (1), false) as upright,
 ((length(text) - length(replace(text, chr(10), '')) >= 5)::bigint + (position('licens' in lower(text)) > 0)::bigint) as meta from documents
 """)
@@ -262,17 +282,16 @@ def marker_flags(spark, d):
     text = F.col("text")
     flag, lines = F.nullif(F.col("n_chars") % 9, F.lit(0).cast(LONG)), F.length(text) - F.length(F.replace(text, F.lit("\n")))
     return table(spark, d, "documents").select(
-        "doc_id", S.signed_by_editor(F.substring(text, 1, 200)).alias("edited"), F.col("lang").isin("en", "de").alias("maker"), (F.col("n_chars") % 7 == 0).alias("moved"),
+        "doc_id", S.signed_by_editor(text).alias("edited"), F.col("lang").isin("en", "de").alias("maker"), (F.col("n_chars") % 7 == 0).alias("moved"),
         F.coalesce(~flag.isin(1), F.lit(False)).alias("upright"), _long((lines >= 5).cast(LONG) + F.contains(F.lower(text), F.lit("licens")).cast(LONG), "meta"),
     )
 
 
-@query("halving_factor", """
-select doc_id, case when n_chars // 16 >= 2000 then 16 when n_chars // 8 >= 2000 then 8 when n_chars // 4 >= 2000 then 4 when n_chars // 2 >= 2000 then 2 else 1 end::bigint as factor
-from documents where n_chars < 64000
+@query("halving_factor", f"""
+select doc_id, case {" ".join(f"when n_chars // {1 << k} >= 2000 then {1 << k}" for k in range(15, 0, -1))} else 1 end::bigint as factor from documents
 """)
 def halving_factor(spark, d):
-    return table(spark, d, "documents").where("n_chars < 64000").select("doc_id", _long(S.halvings(F.col("n_chars"), F.lit(1).cast(LONG)), "factor"))
+    return table(spark, d, "documents").select("doc_id", _long(S.halvings(F.col("n_chars"), F.lit(1).cast(LONG)), "factor"))
 
 
 @query("companion_flag", """

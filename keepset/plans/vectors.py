@@ -42,9 +42,9 @@ _TOPK = f"""{_LOOK}, e as (select a as src, b as dst, distance from l union all
 k as (select *, row_number() over (partition by src order by distance, dst) as place from e)"""
 
 
-@query("lookalike_topk", f"{_TOPK} select src, dst, place from k where place <= 5")
+@query("lookalike_topk", f"{_TOPK} select src, dst, place from k where place <= 60")
 def lookalike_topk(spark, d):
-    return candidates.closest(look(spark, d), 5).select("src", "dst", F.col("place").cast(LONG).alias("place"))
+    return candidates.closest(look(spark, d)).select("src", "dst", F.col("place").cast(LONG).alias("place"))
 
 
 _UNIT = """select vec_id, label, case when n > 1e-12 then list_transform(c, lambda x: x / n) else list_transform(c, lambda x: 0.0::double) end as u from (
@@ -74,11 +74,11 @@ def agreement_pairs(spark, d):
     return agreements(spark, d).select("a", "b", F.round("agreement", 4).alias("agreement"))
 
 
-@query("structure_agrees", f"{_AGREE} select a, b, agreement >= 0.35 as agrees from g")
+@query("structure_agrees", f"{_AGREE} select a, b, agreement >= 0.97 as agrees from g")
 def structure_agrees(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     joined = look(spark, d).join(vectors.toDF("a", "va"), "a").join(vectors.toDF("b", "vb"), "b")
-    return joined.select("a", "b", S.structure_agrees(F.col("va"), F.col("vb"), 0.35).alias("agrees"))
+    return joined.select("a", "b", S.structure_agrees(F.col("va"), F.col("vb")).alias("agrees"))
 
 
 #: Residuals of look-alike pairs: eight blocks of eight entries, scaled to 0..255 so that the ratio's constant means the same.

@@ -37,9 +37,9 @@ def listed(spark: SparkSession, list_path: str, files: DataFrame) -> tuple[DataF
     return files.join(names, "path", "left_semi"), names.join(files, "path", "left_anti")
 
 
-def with_companion(files: DataFrame, video: tuple[str, ...] = (".mov", ".mp4")) -> DataFrame:
-    """files (path) with `motion`: whether a video of the same stem lies beside it."""
-    stems = files.where(S.extension(F.col("path")).isin(*video)).select(S.stem(F.col("path")).alias("stem")).distinct()
+def with_companion(files: DataFrame, video: tuple[str, ...] = S.VIDEO_EXTENSIONS, videos: DataFrame | None = None) -> DataFrame:
+    """files (path) with `motion`: whether a video of the same stem lies beside it, of videos (path) or of the files themselves."""
+    stems = (files if videos is None else videos).where(S.extension(F.col("path")).isin(*video)).select(S.stem(F.col("path")).alias("stem")).distinct()
     joined = files.withColumn("stem", S.stem(F.col("path"))).join(stems.withColumn("motion", F.lit(True)), "stem", "left")
     return joined.select(*files.columns, F.coalesce("motion", F.lit(False)).alias("motion"))
 

@@ -11,6 +11,7 @@ SCHEMAS = {
     "log": "moved_at string, from string, to string, why string, kept_instead string, MB double",
     "review": "judged_at string, setting string, action string, group string, file string, planned string, you_said string, why string, difference double, reason string",
     "labels": "date string, job string, round string, group string, file string, planned string, you_said string, why string, difference string, reason string, outcome string",
+    "verdicts": "file_a string, file_b string, scene string, block double, ratio double, shift double, zoom double, rot double, b_in_a double, a_in_b double, lum_off double, contrast double",
     "audit": "file_a string, file_b string",
     "fates": "file_a string, file_b string, stage string, detail string",
 }

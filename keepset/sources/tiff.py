@@ -9,7 +9,7 @@ from keepset.sources import jpeg
 
 #: Bytes of a value by its type, and the tags that are followed or asked for.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-WIDTH, HEIGHT, ORIENTATION, SOFTWARE, WRITTEN, EXIF, SUB_IFDS, TAKEN, FRACTION, MAKER, RENDERED = 256, 257, 274, 305, 306, 34665, 330, 36867, 37521, 37500, 41985
+WIDTH, HEIGHT, ORIENTATION, SOFTWARE, WRITTEN, EXIF, SUB_IFDS, TAKEN, FRACTION, MAKER, RENDERED, DIGITIZED = 256, 257, 274, 305, 306, 34665, 330, 36867, 37521, 37500, 41985, 36868
 FORMATS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 
 
@@ -62,7 +62,7 @@ def dimensions(data: bytes) -> tuple[int, int]:
 
 def taken_at(found: dict[int, object]) -> float | None:
     """Epoch seconds of the capture time, read as UTC."""
-    text = found.get(TAKEN)
+    text = found.get(TAKEN) or found.get(DIGITIZED)
     try:
         whole = datetime.strptime(str(text)[:19], "%Y:%m:%d %H:%M:%S").replace(tzinfo=timezone.utc).timestamp()
     except ValueError:

@@ -37,6 +37,15 @@ def test_star_groups_equal_the_sweep(spark, scratch, seed):
     assert got == _sweep(sorted(range(n), key=lambda i: rank[i]), lists)
 
 
+@pytest.mark.parametrize(("n", "few"), [(5000, grouping.FEW), (12, 0)])
+def test_star_groups_of_a_chain(spark, scratch, n, few):
+    """Each record sees the next: every other one leads, however long the chain."""
+    records = spark.range(n).select("id", (F.col("id") + 1).alias("rank"))
+    edges = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = dict(map(tuple, grouping.star_groups(records, edges, scratch, few=few).collect()))
+    assert got == {i: i - i % 2 for i in range(n)}
+
+
 def test_star_not_chain(spark, scratch):
     records = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "id long, rank long")
     both = [(1, 2), (2, 1), (2, 3), (3, 2)]

@@ -25,7 +25,7 @@ def test_from_scan_to_undo(spark, folder):
     (folder / "pairs.csv").write_text(f"file_a,file_b\nfile:{folder}/a.jpg,file:{folder}/c.jpg\nfile:{folder}/b.jpg,file:{folder}/a.jpg\n")
     job = cli.analyse(spark, str(folder), audit=str(folder / "pairs.csv"))
     fates = records.read(spark, f"{folder}/_keepset/{job}/fates", "fates").collect()
-    assert {r["file_b"].rpartition("/")[2]: (r["stage"], r["detail"]) for r in fates} == {"c.jpg": ("unverifiable, kept apart", "culled"), "b.jpg": ("unverifiable, kept apart", "culled")}
+    assert {r["file_b"].rpartition("/")[2]: (r["stage"], r["detail"]) for r in fates} == {"c.jpg": ("rejected on the sketch", "culled"), "b.jpg": ("within limits", "culled")}
     plan = records.read(spark, f"{folder}/_keepset/{job}/plan", "plan").collect()
     assert sorted((r["file"].rpartition("/")[2], r["verdict"], r["why"]) for r in plan) == [("a.jpg", "REDUNDANT", "duplicate"), ("b.jpg", "KEEP", None)]
     assert [r["why_inferior"] for r in plan if r["verdict"] == "REDUNDANT"] == ["the same by every measure"]
