@@ -36,12 +36,12 @@ def _texts():
     return out
 
 
-@pytest.mark.parametrize("group", [4096, 8])
-def test_no_pair_is_lost(spark, scratch, group):
-    """Also with groups dealt to cells and common keys last."""
+@pytest.mark.parametrize(("group", "often"), [(4096, 32), (8, 8), (8, 1), (4096, 10**6)])
+def test_no_pair_is_lost(spark, scratch, group, often):
+    """Also with groups dealt to cells, and whatever keys come last."""
     texts = _texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, scratch, group).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, scratch, group, often).collect()}
     assert got == _components(texts)
 
 
