@@ -11,11 +11,10 @@ from keepset.operators.rules import SETTLED
 KEEP, REDUNDANT = "KEEP", "REDUNDANT"
 
 
-def manifest(ranked: DataFrame, group: str) -> DataFrame:
-    """Ranked records with verdict and group_size; groups of one are left out."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(group))
+def manifest(ranked: DataFrame) -> DataFrame:
+    """Ranked records (rank, group_size) with verdict; groups of one are left out."""
     verdict = F.when(F.col("rank") == 1, KEEP).otherwise(REDUNDANT)
-    return ranked.withColumn("group_size", size).where("group_size >= 2").withColumn("verdict", verdict)
+    return ranked.where("group_size >= 2").withColumn("verdict", verdict)
 
 
 def marked(records: DataFrame, group: str, rungs: tuple[str, ...]) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepset.operators.ordering import placed
+from keepset.runtime import Scratch
+
 #: The rungs, best first (a larger value wins), and what is said of the record that loses on one.
 LADDER = (
     ("motion", "no Live Photo video"),
@@ -33,9 +36,9 @@ def best_first(rungs: tuple[str, ...] = RUNGS) -> list[Column]:
     return [F.col(r).desc() for r in rungs]
 
 
-def ranked(records: DataFrame, group: str, rungs: tuple[str, ...] = RUNGS) -> DataFrame:
-    """rank: 1 for the record of its group that is kept."""
-    return records.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*best_first(rungs))))
+def ranked(records: DataFrame, group: str, scratch: Scratch, rungs: tuple[str, ...] = RUNGS) -> DataFrame:
+    """rank, 1 for the record of its group that is kept, and group_size. A large group is sorted by many tasks."""
+    return placed(records, scratch, "ladder", group, *best_first(rungs))
 
 
 def keepers(records: DataFrame, group: str, rungs: tuple[str, ...] = RUNGS) -> DataFrame:
@@ -53,17 +56,18 @@ def why_inferior(keeper: Column, other: Column, rungs: tuple[str, ...] = RUNGS)
     return out.otherwise(TIE)
 
 
-def lazily_ranked(records: DataFrame, group: str, probe) -> DataFrame:
-    """rank with the rung `once` read only where it can decide: among records that tie for best on the rungs above it.
+def lazily_ranked(records: DataFrame, group: str, scratch: Scratch, probe) -> DataFrame:
+    """ranked() with the rung `once` read only where it can decide: among records that tie for best on the rungs above it.
 
     probe(records) returns them with `again`, true if a record has been saved a second time. All others count as saved once.
     """
-    upper = F.rank().over(Window.partitionBy(group).orderBy(*best_first(UPPER)))
-    placed = records.withColumn("upper", upper)
-    tied = F.count(F.lit(1)).over(Window.partitionBy(group, "upper"))
-    placed = placed.withColumn("probed", (F.col("upper") == 1) & (tied > 1))
-    read = probe(placed.where("probed"))
-    columns = [*records.columns, "upper", "probed"]
-    every = read.select(*columns, F.when(F.col("again"), 0).otherwise(1).alias("once")).unionByName(placed.where(~F.col("probed")).select(*columns, F.lit(1).alias("once")))
-    order = [F.col("upper"), F.col("once").desc(), *best_first(tuple(r for r in LOWER if r in records.columns))]
-    return every.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    upper = F.struct(*UPPER)
+    best = records.groupBy(F.col(group).alias("best_of")).agg(F.max(upper).alias("best"))
+    tops = records.select(group, upper.alias("own")).join(best, F.col(group).eqNullSafe(F.col("best_of")) & (F.col("own") == F.col("best")))
+    tied = scratch.table(tops.groupBy("best_of", "best").count().where("count > 1").drop("count"), "ladder_tied")
+    marked = records.join(tied, F.col(group).eqNullSafe(F.col("best_of")), "left")
+    marked = marked.withColumn("probed", F.coalesce(upper == F.col("best"), F.lit(False))).drop("best_of", "best")
+    read = probe(marked.where("probed"))
+    once = F.when(F.col("again"), 0).otherwise(1).alias("once")
+    every = read.select(*marked.columns, once).unionByName(marked.where(~F.col("probed")).withColumn("once", F.lit(1)))
+    return ranked(scratch.table(every, "ladder_read"), group, scratch, tuple(r for r in RUNGS if r in every.columns))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keepset.functions import scalars as S
 from keepset.operators import cache, journal, ladder, rules
 from keepset.plans.registry import query
+from keepset.runtime import Scratch, ship
 from keepset.sources.tables import table
 
 LONG = "long"
@@ -57,8 +58,38 @@ from documents where doc_id in (select doc_id from labels) group by source
 """)
 def selection_digest(spark, d):
     chosen = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
-    names = F.array_sort(F.collect_list(F.col("doc_id").cast("string")))
-    return chosen.groupBy("source").agg(F.substring(F.md5(F.concat_ws("\n", names)), 1, 8).alias("digest"), F.count(F.lit(1)).alias("files"))
+    return digests(chosen.select("source", F.col("doc_id").cast("string").alias("name")))
+
+
+def digests(chosen: DataFrame) -> DataFrame:
+    """source, digest and files: the first 8 digits of the MD5 of a source's names (source, name), in order, a line each.
+
+    The digest is sequential, so one task reads a source's names, sorted outside of its memory; it holds one batch of them.
+    """
+    ship(chosen.sparkSession)
+
+    def digested(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        def row(source, digest, files):
+            return pa.RecordBatch.from_arrays([pa.array([source], pa.string()), pa.array([digest.hexdigest()[:8]]), pa.array([files], pa.int64())], ["source", "digest", "files"])
+
+        source, digest, files = None, None, 0
+        for batch in batches:
+            for of, name in zip(batch.column("source").to_pylist(), batch.column("name").to_pylist()):
+                if digest is None or of != source:
+                    if digest is not None:
+                        yield row(source, digest, files)
+                    source, digest, files = of, hashlib.md5(), 0
+                digest.update(("\n" if files else "").encode() + name.encode())
+                files += 1
+        if digest is not None:
+            yield row(source, digest, files)
+
+    ordered = chosen.where("name is not null").repartition("source").sortWithinPartitions("source", "name")
+    return ordered.mapInArrow(digested, "source string, digest string, files long")
 
 
 @query("fingerprint", """
@@ -125,7 +156,8 @@ def records(spark, d) -> DataFrame:
 
 @query("keeper_ladder", f"select doc_id, family, rank from ({_RANKED}) where group_size >= 2")
 def keeper_ladder(spark, d):
-    placed = journal.manifest(ladder.ranked(records(spark, d), "family", tuple(_RUNGS)), "family")
+    scratch = Scratch(spark, "ladder")
+    placed = journal.manifest(ladder.ranked(scratch.table(records(spark, d), "records"), "family", scratch, tuple(_RUNGS)))
     return placed.select("doc_id", "family", F.col("rank").cast(LONG).alias("rank"))
 
 
@@ -157,7 +189,8 @@ select doc_id, family, probed, rank from r where group_size >= 2
 """)
 def keeper_lazy_rung(spark, d):
     probe = lambda tied: tied.withColumn("again", F.col("n_chars") % 3 == 0)
-    placed = journal.manifest(ladder.lazily_ranked(records(spark, d), "family", probe), "family")
+    scratch = Scratch(spark, "ladder")
+    placed = journal.manifest(ladder.lazily_ranked(scratch.table(records(spark, d), "records"), "family", scratch, probe))
     return placed.select("doc_id", "family", "probed", F.col("rank").cast(LONG).alias("rank"))
 
 
