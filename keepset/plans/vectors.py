@@ -148,9 +148,18 @@ def limit_sweep(spark, d):
     return cascade.limit_sweep(residuals(spark, d), LIMITS)
 
 
-@query("star_groups")
+#: The sweep record by record: who has a leader before it on whose list it is belongs to the first such; others lead.
+_STAR = f"""{_TOPK.replace("with p as", "with recursive p as", 1)},
+l0 as materialized (select dst, list(src) as earlier from k where place <= 60 and src < dst group by 1),
+n as materialized (select vec_id, row_number() over (order by vec_id) as step, coalesce(earlier, []::bigint[]) as earlier from embeddings left join l0 on dst = vec_id),
+w(step, vec_id, leader, leaders) as (select 0::bigint, null::bigint, null::bigint, []::bigint[] union all
+select n.step, n.vec_id, coalesce(list_min(list_intersect(n.earlier, w.leaders)), n.vec_id), case when list_has_any(n.earlier, w.leaders) then w.leaders else list_append(w.leaders, n.vec_id) end
+from w join n on n.step = w.step + 1)"""
+
+
+@query("star_groups", f"{_STAR} select vec_id, leader from w where vec_id is not null")
 def star_groups(spark, d):
-    """Groups of look-alikes, each record's list capped at its 60 closest. Sequential by nature; tests hold it against a sweep."""
+    """Groups of look-alikes, each record's list capped at its 60 closest."""
     scratch = Scratch(spark, "star")
     edges = scratch.table(candidates.closest(look(spark, d)).select("src", "dst"), "edges")
     ranks = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("rank"))
