@@ -182,18 +182,41 @@ def scene_cohesion(spark, d):
     return found.select("label", "members", F.round("least_agreement", 4).alias("least_agreement"))
 
 
+#: The limit of the scenes here; vectors of this table agree less than pictures of one scene do.
+ALIKE = 0.3
+#: Growth (g), a member or a new seed a step; then joins of scenes (j), one a step. A state holds the vectors of one label.
+_SCENES = f"""with recursive u0 as materialized ({_UNIT}), s0 as (select label, list({{'id': vec_id, 'u': u}} order by vec_id) as waiting from u0 group by 1),
+g as (select label, 0 as step, waiting, s0.waiting[1:0] as members, null::double[] as total, s0.waiting[1:0] as found from s0
+union all select label, step + 1,
+  case when len(members) = 0 then waiting[2:] when takes then list_concat(waiting[:spot - 1], waiting[spot + 1:]) else waiting end,
+  case when len(members) = 0 then waiting[1:1] when takes then list_append(members, waiting[spot]) else waiting[1:0] end,
+  case when len(members) = 0 then waiting[1].u when takes then list_transform(list_zip(total, waiting[spot].u), lambda z: z[1] + z[2]) else null end,
+  case when len(members) >= 2 and not takes then members else waiting[1:0] end
+from (select *, len(members) > 0 and coalesce(list_max(agrees) >= {ALIKE}, false) as takes, len(waiting) + 1 - list_position(list_reverse(agrees), list_max(agrees)) as spot
+from (select *, list_transform(waiting, lambda x: list_dot_product(x.u, total) / case when list_dot_product(total, total) > 0 then sqrt(list_dot_product(total, total)) else 1 end) as agrees
+from g where len(members) > 0 or len(waiting) >= 2))),
+f as (select label, list({{'members': found, 'total': total_of}} order by step) as scenes from (
+select label, step, found, list_transform(range(1, 65), lambda k: list_sum(list_transform(found, lambda m: m.u[k]))) as total_of from g where len(found) >= 2) group by 1),
+j as (select label, 0 as step, scenes, null::struct(a bigint, b bigint) as joined, true as open from f
+union all select label, step + 1, case when pair is null then scenes else list_concat(list_append(scenes[:pair.a - 1], {{'members': list_concat(scenes[pair.a].members, scenes[pair.b].members),
+  'total': list_transform(list_zip(scenes[pair.a].total, scenes[pair.b].total), lambda z: z[1] + z[2])}}), list_concat(scenes[pair.a + 1:pair.b - 1], scenes[pair.b + 1:])) end, pair, pair is not null
+from (select *, list_filter(flatten(list_transform(range(1, len(scenes) + 1), lambda a: list_transform(range(a + 1, len(scenes) + 1), lambda b: {{'a': a, 'b': b}}))),
+  lambda p: list_min(list_transform(list_concat(scenes[p.a].members, scenes[p.b].members), lambda m: list_dot_product(m.u, list_transform(list_zip(scenes[p.a].total, scenes[p.b].total), lambda z: z[1] + z[2])))) >=
+  {ALIKE} * sqrt(list_sum(list_transform(list_zip(scenes[p.a].total, scenes[p.b].total), lambda z: (z[1] + z[2]) * (z[1] + z[2])))))[1] as pair from j where open)),
+e as (select label, unnest(scenes) as one, unnest(range(1, len(scenes) + 1)) as scene from j where not open)"""
+
+
 def _scenes(spark, d) -> DataFrame:
     records = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("vec_id").cast("double").alias("t"), F.col("embedding").alias("vector"))
-    return scenes.scenes(records, "label", alike=0.3)
+    return scenes.scenes(records, "label", alike=ALIKE)
 
 
-@query("scenes")
+@query("scenes", f"{_SCENES} select label, scene::bigint as scene, unnest(one.members).id as vec_id from e")
 def scenes_of(spark, d):
-    """Growth is sequential; tests hold it against a plain loop."""
     return _scenes(spark, d).select("label", F.col("scene").cast(LONG).alias("scene"), F.col("id").alias("vec_id"))
 
 
-@query("scene_summary")
+@query("scene_summary", f"{_SCENES} select count(*) as scenes, coalesce(sum(len(one.members)), 0)::bigint as records, coalesce(max(len(one.members)), 0)::bigint as largest from e")
 def scene_summary(spark, d):
     return scenes.summary(_scenes(spark, d), "label")
 
