@@ -2,15 +2,17 @@
 
 1. A document's set holds a 64-bit hash of each run of SHINGLE lower-cased words; one of fewer words has the run of all its words.
    Equal sets are one node from then on. Texts without words are equal, and null ones are such texts.
-2. In an order common to all sets, two sets of similarity 4/5 share one of the first n - ceil(4n/5) + 1 hashes of each (prefix
+2. Nodes whose SimHash fingerprints are few bits apart meet over simhash's pivot tables. What follows in 3 and 4 finds the other
+   similar nodes: no number of bits holds for every such pair.
+3. In an order common to all sets, two sets of similarity 4/5 share one of the first n - ceil(4n/5) + 1 hashes of each (prefix
    filter), so these are the keys under which nodes meet. Hashes come in the order of their values, those that are often keys after
    all others: passages that many texts share bring no pairs together then unless the texts have little else. A bitmap of
    fixed size tells which are often keys; whatever it says, the order is common to all sets, so it decides work, not results.
-3. Nodes under one key are compared in cells of at most GROUP. Sizes, and the bits in which two parity bitmaps differ (never more than
+4. Nodes under one key are compared in cells of at most GROUP, but for those that 2 finds. Sizes, and the bits in which two parity bitmaps differ (never more than
    the sets' symmetric difference), discard pairs without loss, first small bitmaps within a cell, then bitmaps of two bits a hash.
-4. Only the sets of nodes that some pair still has are made, in another pass over the texts in which a bitmap of fixed size
+5. Only the sets of nodes that some pair still has are made, in another pass over the texts in which a bitmap of fixed size
    (WANTED_BITS) tells which rows to look at; these pairs are compared hash by hash.
-5. A first round compares each node with one that passes at most, which joins most of a large group; the second compares all pairs
+6. A first round compares each node with one that passes at most, of 2 or of 4, which joins most of a large group; the second compares all pairs
    that pass and are not joined yet.
 
 Texts of any length are read whole. Rows with a null id take part; such an id is the smallest only where there is no other. Repeated
@@ -25,6 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keepset.llm import simhash
 from keepset.llm.graphs import components
 from keepset.llm.templates import bitmap
 from keepset.llm.tokens import slices
@@ -38,7 +41,7 @@ WANTED_BITS = 24
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _PLAIN = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, SHINGLE + 1)]
-_NODE = "doc_id long, node long, size int, bits binary, sketch binary, keys array<long>"
+_NODE = "doc_id long, node long, fingerprint long, size int, bits binary, sketch binary, keys array<long>"
 
 
 def shingles(texts) -> list[np.ndarray]:
@@ -113,7 +116,7 @@ def _lists(arrays: list[np.ndarray]):
 
 
 def marked(docs: DataFrame, late: np.ndarray | None = None) -> DataFrame:
-    """doc_id and what is known of its set: node, size, small and larger bitmap, and keys, those of the bitmap late last."""
+    """doc_id and what is known of its set: node, fingerprint, size, small and larger bitmap, and keys, those of the bitmap late last."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(late)
 
@@ -125,8 +128,9 @@ def marked(docs: DataFrame, late: np.ndarray | None = None) -> DataFrame:
             for part in slices(batch):
                 own = shingles(part.column("text"))
                 nodes = np.array([_node(x) for x in own], np.uint64).view(np.int64)
-                columns = [part.column("doc_id"), pa.array(nodes), pa.array([len(x) for x in own], pa.int32()), pa.array([_bits(x) for x in own], pa.binary()), pa.array([_bits(x, max(BITMAP, 1 << (2 * len(x) - 1).bit_length())) for x in own], pa.binary()), _lists([_keys(x, late) for x in own])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "bits", "sketch", "keys"])
+                prints = np.array([simhash.majority(x) for x in own], np.uint64).view(np.int64)
+                columns = [part.column("doc_id"), pa.array(nodes), pa.array(prints), pa.array([len(x) for x in own], pa.int32()), pa.array([_bits(x) for x in own], pa.binary()), pa.array([_bits(x, max(BITMAP, 1 << (2 * len(x) - 1).bit_length())) for x in own], pa.binary()), _lists([_keys(x, late) for x in own])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fingerprint", "size", "bits", "sketch", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(computed), _NODE)
 
@@ -183,13 +187,16 @@ def _met(nodes: DataFrame, scratch: Scratch, group: int) -> DataFrame:
     many = keyed.join(counted.select("key", cells.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")))
     many = many.select("key", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("with"))
     dealt = many.select("key", "node", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
-    met = scratch.table(dealt.join(nodes.select("node", "size", "bits"), "node").select("key", "low", "high", "node", "size", "bits"), "met")
+    met = scratch.table(dealt.join(nodes.select("node", "fingerprint", "size", "bits"), "node").select("key", "low", "high", "node", "fingerprint", "size", "bits"), "met")
     scratch.drop("counted")
     return met
 
 
-def _compared(group: np.ndarray, size: np.ndarray, bits: np.ndarray, label: np.ndarray | None) -> Iterator:
-    """Places of pairs that sizes and bitmaps let pass, in rows sorted by group and size; label: all of different ones, none: one each."""
+def _compared(group: np.ndarray, size: np.ndarray, bits: np.ndarray, prints: np.ndarray, limit: int, label: np.ndarray | None) -> Iterator:
+    """Places of pairs that sizes and bitmaps let pass and fingerprints over limit bits apart, in rows sorted by group and size.
+
+    label: all of different ones; none: one each.
+    """
     lag, rows, done = 1, np.arange(len(group) - 1), np.zeros(len(group), bool)
     while len(rows):
         other = rows + lag
@@ -198,6 +205,7 @@ def _compared(group: np.ndarray, size: np.ndarray, bits: np.ndarray, label: np.n
         open_ = ~done[other] if label is None else label[rows] != label[other]
         a, b = rows[open_], other[open_]
         kept = 9 * np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= size[a] + size[b]
+        kept &= np.bitwise_count(prints[a] ^ prints[b]) > limit
         if kept.any():
             done[b[kept]] = True
             yield a[kept], b[kept]
@@ -205,8 +213,8 @@ def _compared(group: np.ndarray, size: np.ndarray, bits: np.ndarray, label: np.n
         rows = rows[rows + lag < len(group)]
 
 
-def _candidates(met: DataFrame, labelled: bool) -> DataFrame:
-    """(a, b) to compare; with a column of labels, all that are left."""
+def _candidates(met: DataFrame, limit: int, labelled: bool) -> DataFrame:
+    """(a, b) to compare, over limit bits apart; with a column of labels, all that are left."""
     columns = ["key", "low", "high"]
     cells = met.repartition(*columns).sortWithinPartitions(*columns, "size", "node")
 
@@ -216,11 +224,11 @@ def _candidates(met: DataFrame, labelled: bool) -> DataFrame:
         def read(batch):
             whole = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
-            return [np.stack([whole(c) for c in columns], axis=1), whole("node"), whole("size"), bits, whole("label") if labelled else whole("node")]
+            return [np.stack([whole(c) for c in columns], axis=1), whole("node"), whole("size"), bits, whole("fingerprint").view(np.uint64), whole("label") if labelled else whole("node")]
 
-        def found(cell, node, size, bits, label):
+        def found(cell, node, size, bits, prints, label):
             group = np.concatenate([[0], np.cumsum((cell[1:] != cell[:-1]).any(axis=1))])
-            for a, b in _compared(group, size, bits, label if labelled else None):
+            for a, b in _compared(group, size, bits, prints, limit, label if labelled else None):
                 pairs = np.unique(np.sort(np.stack([node[a], node[b]], axis=1), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -262,12 +270,17 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * shared >= 4 * (F.size("a_hashes") + F.size("b_hashes"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, group: int = GROUP, often: int = OFTEN) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id of all that its set reaches over similar sets."""
+def near_duplicates(docs: DataFrame, scratch: Scratch, group: int = GROUP, often: int = OFTEN, limit: int = simhash.CLOSE) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id of all that its set reaches over similar sets.
+
+    limit: how many bits apart fingerprints meet over the pivot tables; it decides which way a pair is found, not whether.
+    """
     known = scratch.table(marked(docs, _late(docs, scratch, often)), "marked")
-    nodes = scratch.table(known.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("size", "bits", "sketch", "keys"))), "nodes")
+    nodes = scratch.table(known.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("fingerprint", "size", "bits", "sketch", "keys"))), "nodes")
     member = scratch.table(known.select("doc_id", "node"), "member")
     scratch.drop("marked")
+    prints = nodes.select("node", "fingerprint")
+    close = scratch.table(simhash.pairs(prints, limit, group), "close")
     met = _met(nodes, scratch, group)
 
     def similar(likely: DataFrame, name: str) -> DataFrame:
@@ -276,12 +289,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, group: int = GROUP, often
         scratch.drop(f"sets_{name}")
         return out
 
-    one = scratch.table(_likely(_candidates(met, False), nodes).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
+    one = scratch.table(_likely(_candidates(met, limit, False).union(close), nodes).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
     stars = components(similar(one, "one"), scratch)
     labels = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    labelled = met.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    rest = scratch.table(_likely(_candidates(labelled, True).join(one, ["a", "b"], "left_anti"), nodes), "rest")
+    labelled = lambda df: df.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    partnered = prints.join(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), "node", "left_semi")
+    left = _candidates(labelled(met), limit, True).union(simhash.pairs(labelled(partnered), limit, group))
+    rest = scratch.table(_likely(left.join(one, ["a", "b"], "left_anti"), nodes), "rest")
     scratch.drop("met")
+    scratch.drop("close")
     stars = components(stars.union(similar(rest, "rest")), scratch, "all")
     parts = nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     parts = scratch.table(parts, "parts")

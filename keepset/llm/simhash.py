@@ -9,6 +9,9 @@
 4. Groups of more than GROUP fingerprints are dealt to cells, one for each pair of their chunks, so that no task holds one whole.
 5. A cell sends on a spanning star of each of its connected parts, never all its links; stars are joined to components.
 
+The pipeline's stage (keep_one) takes the same steps with fingerprints of five-word shingles, CLOSE bits apart at most; its cells
+send on pairs, which neardup checks by their shingles and to which it adds the similar pairs that are further apart.
+
 Texts of any length are read whole. Null texts have no words, hence fingerprint zero like any text without words; these link like any others. Null ids never become
 a component's id unless it has no other. Repeated rows come out each. An empty table gives an empty result. Only doc_id and text
 are read.
@@ -23,15 +26,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepset.llm import neardup
 from keepset.llm.graphs import components
 from keepset.llm.tokens import slices
 from keepset.llm.words import texts_of
 from keepset.runtime import Scratch, ship, tidy
 
 BITS_APART, SHINGLE, SEED = 3, 3, 42
-#: Widths of the blocks that 64 bits are cut into; so many stay equal under BITS_APART changes.
-WIDTHS, EQUAL = (13, 13, 13, 13, 12), 2
+#: Bits apart in the pipeline. Of 48 similar pairs of different shingles in sf0.1, 3 are so close; 23 are 7 bits apart at most, which takes
+#: 120 keys instead of 10.
+CLOSE = 3
+#: Blocks of bits that stay equal under up to BITS_APART changes, and one more beyond it; there are so many more blocks than changes.
+EQUAL = 2
 PIVOTS, GROUP = 16, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -48,7 +53,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), dtype="<u8")
+    return majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are 1 where over half of the hashes have a 1."""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -70,19 +79,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(computed), "doc_id long, fingerprint long")
 
 
-def _keys(column):
-    """The keys of a fingerprint: the number of a choice of blocks, and the blocks' bits."""
+def _masks(limit: int) -> list[int]:
+    """Each choice of blocks as the bits it takes, signed; numbers at most `limit` bits apart are equal under one of them."""
+    equal = EQUAL + (limit > BITS_APART)
+    count = max(limit, BITS_APART) + equal
     blocks, at = [], 0
-    for width in WIDTHS:
-        blocks.append((F.shiftrightunsigned(column, at).bitwiseAND(F.lit((1 << width) - 1)), width))
+    for width in (64 // count + (k < 64 % count) for k in range(count)):
+        blocks.append(((1 << width) - 1) << at)
         at += width
-    out = []
-    for number, chosen in enumerate(combinations(blocks, EQUAL)):
-        key = F.lit(number).cast("long")
-        for bits, width in chosen:
-            key = F.shiftleft(key, width).bitwiseOR(bits)
-        out.append(key)
-    return F.array(*out)
+    return np.array([sum(chosen) for chosen in combinations(blocks, equal)], np.uint64).view(np.int64).tolist()
+
+
+def _keyed(nodes: DataFrame, limit: int) -> DataFrame:
+    """The nodes under each of their keys, a hash of a mask and the fingerprint's bits under it."""
+    masked = nodes.select("*", F.explode(F.array(*map(F.lit, _masks(limit)))).alias("mask"))
+    return masked.withColumn("key", F.xxhash64("mask", F.col("fingerprint").bitwiseAND(F.col("mask")))).drop("mask")
 
 
 class _Sweep:
@@ -91,10 +102,39 @@ class _Sweep:
     def __init__(self, limit: int):
         self.limit, self.pivots = limit, pivots()
 
+    def linked(self, group: np.ndarray, prints: np.ndarray, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the pairs of a group that are at most `limit` bits apart, of those that wanted(a, b) leaves to compare."""
+        same = group[1:] == group[:-1]
+        at = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        group, prints = group[at], prints[at]
+        table = np.bitwise_count(prints[:, None] ^ self.pivots[None, :]).astype(np.int8)
+        lag, rows = 1, np.arange(len(at) - 1)
+        while len(rows):
+            other = rows + lag
+            near = (group[rows] == group[other]) & (table[other, 0] - table[rows, 0] <= self.limit)
+            rows = rows[near]  # a row's later partners are further still
+            a, b = rows, rows + lag
+            left = wanted(at[a], at[b])
+            a, b = a[left], b[left]
+            kept = np.abs(table[a] - table[b]).max(axis=1, initial=0) <= self.limit
+            a, b = a[kept], b[kept]
+            linked = np.bitwise_count(prints[a] ^ prints[b]) <= self.limit
+            if linked.any():
+                yield at[a[linked]], at[b[linked]]
+            lag += 1
+            rows = rows[rows + lag < len(at)]
+
+    def pairs(self, group: np.ndarray, prints: np.ndarray, label: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of linked pairs: all of different labels, without labels enough to have each place that any pair has."""
+        seen = np.zeros(len(prints), bool)
+        for a, b in self.linked(group, prints, lambda a, b: ~(seen[a] & seen[b]) if label is None else label[a] != label[b]):
+            seen[a] = True
+            seen[b] = True
+            yield a, b
+
     def stars(self, group: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nodes and the smallest-placed node that each is linked to, directly or over others of its group."""
         n = len(prints)
-        table = np.bitwise_count(prints[:, None] ^ self.pivots[None, :]).astype(np.int8)
         label, left, right, held = np.arange(n), [], [], 0
 
         def merge():
@@ -114,39 +154,31 @@ class _Sweep:
                 right.clear()
                 held = 0
 
-        lag, rows = 1, np.arange(n - 1)
-        while len(rows):
-            other = rows + lag
-            near = (group[rows] == group[other]) & (table[other, 0] - table[rows, 0] <= self.limit)
-            rows = rows[near]  # a row's later partners are further still
-            other = rows + lag
-            kept = np.abs(table[rows] - table[other]).max(axis=1, initial=0) <= self.limit
-            a, b = rows[kept], other[kept]
-            linked = np.bitwise_count(prints[a] ^ prints[b]) <= self.limit
-            linked &= label[a] != label[b]
-            if linked.any():
-                left.append(a[linked])
-                right.append(b[linked])
-                held += int(linked.sum())
-                if held > 200_000:
-                    merge()
-            lag += 1
-            rows = rows[rows + lag < n]
+        for a, b in self.linked(group, prints, lambda a, b: label[a] != label[b]):
+            left.append(a)
+            right.append(b)
+            held += len(a)
+            if held > 200_000:
+                merge()
         merge()
         at = np.flatnonzero(label != np.arange(n))
         return at, label[at]
 
 
-def links(nodes: DataFrame, limit: int = BITS_APART, group: int = GROUP) -> DataFrame:
-    """(a, b): enough links between the given distinct fingerprints to connect all that are at most `limit` bits apart."""
+def _swept(nodes: DataFrame, limit: int, group: int, found) -> DataFrame:
+    """(a, b) that found gives for whole cells. nodes: an id, a fingerprint (may be the same column) and others.
+
+    found takes a sweep, the number of each row's cell and the columns of nodes, in the order of cells and first pivot distance.
+    """
     ship(nodes.sparkSession)
-    keyed = nodes.select("fingerprint", F.explode(_keys(F.col("fingerprint"))).alias("key"))
+    columns = nodes.columns
+    keyed = _keyed(nodes, limit)
     large = keyed.groupBy("key").count().where(F.col("count") > group).select("key", F.ceil(F.col("count") / F.lit(group // 2)).alias("chunks"))
     dealt = keyed.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("chunks"))
-    dealt = dealt.withColumn("own", own).select("key", "fingerprint", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("with"))
+    own = F.pmod(F.xxhash64(columns[0]), F.col("chunks"))
+    dealt = dealt.withColumn("own", own).select("key", *columns, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("with"))
     first = int(pivots()[0].astype(np.int64))
-    dealt = dealt.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), F.bit_count(F.col("fingerprint").bitwiseXOR(F.lit(first))).alias("distance"), "fingerprint")
+    dealt = dealt.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), F.bit_count(F.col("fingerprint").bitwiseXOR(F.lit(first))).alias("distance"), *columns)
     cells = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "distance", "fingerprint")
 
     def swept(batches: Iterator) -> Iterator:
@@ -154,26 +186,50 @@ def links(nodes: DataFrame, limit: int = BITS_APART, group: int = GROUP) -> Data
 
         sweep, rest = _Sweep(limit), None
 
-        def compared(cell: np.ndarray, prints: np.ndarray):
-            group = np.concatenate([[0], np.cumsum((cell[1:] != cell[:-1]).any(axis=1))])
-            at, to = sweep.stars(group, prints)
-            return pa.RecordBatch.from_arrays([pa.array(prints[at].view(np.int64)), pa.array(prints[to].view(np.int64))], ["a", "b"])
+        def compared(cell: np.ndarray, *held: np.ndarray):
+            for a, b in found(sweep, np.concatenate([[0], np.cumsum((cell[1:] != cell[:-1]).any(axis=1))]), *held):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            cell = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "low", "high")], axis=1)
-            prints = batch.column("fingerprint").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            if rest is not None:
-                cell, prints = np.concatenate([rest[0], cell]), np.concatenate([rest[1], prints])
-            if not len(cell):
+            if not batch.num_rows:
                 continue
-            whole = len(cell) - int(np.argmin((cell[::-1] == cell[-1]).all(axis=1)) or len(cell))
+            read = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = [np.stack([read(c) for c in ("key", "low", "high")], axis=1), *map(read, columns)]
+            if rest is not None:
+                rows = [np.concatenate(x) for x in zip(rest, rows)]
+            whole = int(np.argmax((rows[0] == rows[0][-1]).all(axis=1)))
             if whole:
-                yield compared(cell[:whole], prints[:whole])
-            rest = cell[whole:], prints[whole:]
-        if rest is not None and len(rest[0]):
-            yield compared(*rest)
+                yield from compared(*(x[:whole] for x in rows))
+            rest = [x[whole:] for x in rows]
+        if rest is not None:
+            yield from compared(*rest)
+
+    return cells.select("key", "low", "high", *columns).mapInArrow(tidy(swept), "a long, b long")
 
-    return cells.select("key", "low", "high", "fingerprint").mapInArrow(tidy(swept), "a long, b long")
+
+def links(nodes: DataFrame, limit: int = BITS_APART, group: int = GROUP) -> DataFrame:
+    """(a, b): enough links between the given distinct fingerprints to connect all that are at most `limit` bits apart."""
+
+    def found(sweep: _Sweep, cell: np.ndarray, prints: np.ndarray):
+        at, to = sweep.stars(cell, prints.view(np.uint64))
+        yield prints[at], prints[to]
+
+    return _swept(nodes, limit, group, found)
+
+
+def pairs(nodes: DataFrame, limit: int = CLOSE, group: int = GROUP) -> DataFrame:
+    """(a, b), a < b: nodes at most `limit` bits apart. nodes: node, fingerprint and perhaps label, all long.
+
+    With labels all pairs of different ones; without, enough pairs that each node which has a partner is in one.
+    """
+
+    def found(sweep: _Sweep, cell: np.ndarray, node: np.ndarray, prints: np.ndarray, label: np.ndarray | None = None):
+        for a, b in sweep.pairs(cell, prints.view(np.uint64), label):
+            both = np.unique(np.sort(np.stack([node[a], node[b]], axis=1), axis=1), axis=0)
+            yield both[:, 0], both[:, 1]
+
+    columns = [c for c in ("node", "fingerprint", "label") if c in nodes.columns]
+    return _swept(nodes.select(*columns), limit, group, found).distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, limit: int = BITS_APART) -> DataFrame:
@@ -195,7 +251,10 @@ def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents without those that have a near-duplicate before them: of each component the one with the smallest doc_id stays.
 
-    Near-duplicates are those of neardup (five words, similarity 4/5); shingles and bits of this module are the query's only.
+    Near-duplicates have five-word shingles of similarity 4/5 or more. Those whose fingerprints are at most CLOSE bits apart meet over
+    the pivot tables, the others over neardup's keys; either way the shingles are compared.
     """
+    from keepset.llm import neardup  # which uses this module
+
     found = neardup.near_duplicates(docs, scratch).select(F.col("doc_id").alias("own_id"), "component_id").where(F.col("own_id") != F.col("component_id")).distinct()
     return docs.join(found, docs["doc_id"] == found["own_id"], "left_anti")
