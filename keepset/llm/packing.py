@@ -175,10 +175,10 @@ def pack(docs: DataFrame, vocabulary_path: str, end: int, parts: Column | None =
             return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "ids" else pa.int64()) for x, n in zip(columns, names)], names)
 
         for batch in batches:
-            for part in slices(batch) if plain else [batch]:
+            for part in slices(batch, 2048, 8_000_000) if plain else [batch]:
                 keys = part.column("doc_id").to_pylist()
                 if plain:
-                    docs_ids = [[(x, True)] for x in library.encode(part.column("text").to_pylist(), None)]
+                    docs_ids = [[(x, True)] for x in library.encode(part.column("text"), None)]
                 else:
                     docs_ids = [[(library.encode([p and p["text"]], None)[0], bool(p and p["loss"])) for p in row or []] or [(b"", True)] for row in part.column("parts").to_pylist()]
                 for key, own in zip(keys, docs_ids):

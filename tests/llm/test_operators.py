@@ -119,6 +119,46 @@ def test_pieces_encode_as_whole_texts(name):
     assert known.encode(texts[::-1], 3) == [x + b"\3\0\0\0" for x in known.whole(texts[::-1])]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_of_wide_characters(name):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    kinds = [" \n\r\x0b\x1c\x85\xa0\u1680\u2003\u2029\u202f\u205f\u3000\u2019.,aZ", "a.,\u0301\u0308ëÉ \n", "×÷Ãß\u2019\u2013\u200b.,a1 \n中。", " .,<|endoftext>\n", "'sS't \0.,\nxİΣς"]
+    texts = ["", "é", "\u3000", ".", "a ", "", "b.", "c"] + ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 30))) for _ in range(1000)]
+    texts += ["".join(rng.choice(kind) for _ in range(rng.randint(0, 30))) for kind in kinds for _ in range(600)]
+    known = tokens.Encoder(tokens.vocabulary(name), most=500)
+    for some in ([], [""], [" "], ["\n"], texts[:8]):
+        assert known.encode(some, None) == known.whole(some)
+    want = known.whole(texts)
+    assert known.encode(pa.array(["left out", None, *texts]).slice(1), 3) == [b"\3\0\0\0"] + [x + b"\3\0\0\0" for x in want]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_that_come_again_stay(name):
+    known = tokens.Encoder(tokens.vocabulary(name), most=300)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(900)]
+    often = " ".join([""] + words[:100])
+    for text in (often, often, *(" ".join([""] + words[i : i + 40]) for i in range(100, 400, 40))):
+        known.encode([text], None)
+    assert len(known.pieces) <= 300
+    learned = []
+    known.whole = lambda texts: learned.extend(texts) or [b"" for _ in texts]
+    known._words = lambda pieces: learned.extend(pieces.to_pylist()) or pieces.cast("large_binary")
+    known.encode([often], None)
+    assert not learned  # none of them is encoded once more
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_one_odd_mark_leaves_others_parted(name):
+    known = tokens.Encoder(tokens.vocabulary(name))
+    text = "ab,&& cd. ab, cd.\nab\n\nab, cd"
+    assert known.encode([text], None) == known.whole([text])
+    assert sorted(known.pieces.to_pylist()) == sorted(["ab,&&", " cd", ".", " ab", ",", "\n", "ab\n\nab"])
+
+
 # 2
 
 
